@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     slim = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     sample = _smallest(slim, rows_per_language)
 
-    def one(key, table: pa.Table) -> pa.Table:
+    def one(key, table):
         order = np.argsort(np.asarray(table.column("h").to_pylist(), dtype=np.int64), kind="stable")[:rows_per_language]
         grams = profile([table.column("text")[int(i)].as_py() for i in order], top)
         return pa.table({"lang": [key[0].as_py()], "grams": pa.array([grams.astype(np.int64).tolist()], pa.list_(pa.int64()))})

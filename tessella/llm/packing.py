@@ -131,7 +131,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType
     names = ["shard", "window", "place", id_col, "first_word", "n_words", "score"]
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
         rows = pack(Words(strings(table.column("text"))), window)
         cols = list(zip(*rows)) or [()] * 6
