@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .text import Words, strings
 
 #: Words in a window, and documents in a shard on average.
-WINDOW, SHARD_DOCS = 4096, 1024
+WINDOW, SHARD_DOCS = 4096, 4096
 K1, B = 1.2, 0.75
 
 
