@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, minhash_dedup, packing, repetition, toxicity
+from . import language_id, license_scan, minhash_dedup, packing, repetition, sentencepiece_codec, token_counts, toxicity
+
+#: Folder of the tokenizers' vocabulary files; all executors have to see it.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +36,15 @@ def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_windows(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.sample_edits(_table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(_table(spark, sf_dir, "documents"))
 

@@ -82,6 +82,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         begin = end
 
 
+def span_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of `b`, which may be of any unsigned type; spans are sorted and don't overlap."""
+    if len(b) <= CHUNK_BYTES * 4:
+        return mix(_polynomial(b, start, end))
+    h = np.empty(len(start), dtype=_U)
+    step, i = CHUNK_BYTES * 2, 0
+    while i < len(h):  # powers restart in every piece: tables stay small however long one text is
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + step, "right")))
+        h[i:j] = _polynomial(b[base : end[j - 1]], start[i:j] - base, end[i:j] - base)
+        i = j
+    return mix(h)
+
+
+def _polynomial(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(b) + 1, dtype=_U)
+    np.cumsum((b.astype(_U) + _U(1)) * _powers("p", _P, len(b) + 1)[: len(b)], out=sums[1:])
+    return (sums[end] - sums[start]) * _powers("q", _PINV, len(b) + 1)[start]
+
+
 class Words:
     """The words of some texts: 64-bit hashes, byte spans and the texts they are in."""
 
@@ -105,22 +125,7 @@ class Words:
         self.first = at
         self.count = np.diff(at)
         self.text = np.repeat(np.arange(n, dtype=np.int64), self.count)
-        if len(b) <= CHUNK_BYTES * 4:
-            sums = np.zeros(len(b) + 1, dtype=_U)
-            np.cumsum((b.astype(_U) + _U(1)) * _powers("p", _P, len(b) + 1)[: len(b)], out=sums[1:])
-            h = (sums[self.end] - sums[self.start]) * _powers("q", _PINV, len(b) + 1)[self.start]
-        else:  # powers restart in every piece: tables stay small however long one text is
-            h = np.empty(len(self.start), dtype=_U)
-            step, i = CHUNK_BYTES * 2, 0
-            while i < len(h):
-                base = int(self.start[i])
-                j = max(i + 1, int(np.searchsorted(self.end, base + step, "right")))
-                part = b[base : self.end[j - 1]]
-                sums = np.zeros(len(part) + 1, dtype=_U)
-                np.cumsum((part.astype(_U) + _U(1)) * _powers("p", _P, len(part) + 1)[: len(part)], out=sums[1:])
-                h[i:j] = (sums[self.end[i:j] - base] - sums[self.start[i:j] - base]) * _powers("q", _PINV, len(part) + 1)[self.start[i:j] - base]
-                i = j
-        self.hash = mix(h)
+        self.hash = span_hash(b, self.start, self.end)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of n words, and the texts they are in; a text of fewer words is one run."""
