@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..codecs import archive, font, text
 
@@ -195,4 +195,4 @@ def decode_textures(df: DataFrame, out: str = "alpha") -> DataFrame:
             b[out] = [font.decode_atlas(int(f), bytes(d), int(w), int(h)) for f, d, w, h in zip(b["format"], b["data"], b["width"], b["height"])]
             yield b
 
-    return df.mapInPandas(run, df.schema.add(out, "binary"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
