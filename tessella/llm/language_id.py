@@ -31,6 +31,8 @@ from .text import CHUNK_BYTES, slices, strings
 TOP = 300
 #: Labelled rows of each language that its profile is fitted on, at most.
 ROWS_PER_LANGUAGE = 400
+#: Rows drawn for each of them before the smallest hashes are taken, and languages that get a profile, the most frequent ones.
+OVERSAMPLE, LANGUAGES = 4, 1000
 #: A text is rejected where even the nearest language is farther than this ...
 MAX_DISTANCE = 0.8
 #: ... unless it has fewer n-grams than this: too little text to speak against any language.
@@ -181,40 +183,23 @@ def distances(texts: list[str], profiles: list[np.ndarray], top: int = TOP) -> t
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, top: int = TOP) -> list[tuple[str, list[int]]]:
     """Profiles of the languages of `labelled`, each from at most `rows_per_language` rows, fitted one language to a task.
 
+    Rows are drawn by hash, about `OVERSAMPLE` times as many as wanted, before any text moves; of these the smallest hashes stay.
     What comes back is as many numbers as `top` for each language, whatever the table's size."""
     slim = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sample = _smallest(slim, rows_per_language)
+    share = F.least(F.lit(1.0), F.lit(float(OVERSAMPLE * rows_per_language)) / F.col("n"))
+    # one row for each of at most LANGUAGES languages
+    below = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
+    sample = slim.join(F.broadcast(below), "lang").where("h <= below").select("lang", "h", "i", "text")
 
     def one(key, table):
-        order = np.argsort(np.asarray(table.column("h").to_pylist(), dtype=np.int64), kind="stable")[:rows_per_language]
-        grams = profile([table.column("text")[int(i)].as_py() for i in order], top)
+        table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("text", "ascending")]).slice(0, rows_per_language)
+        grams = profile(pc.utf8_lower(strings(table.column("text"))).to_pylist(), top)
         return pa.table({"lang": [key[0].as_py()], "grams": pa.array([grams.astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
     fitted = sample.groupBy("lang").applyInArrow(one, "lang string, grams array<bigint>")
     return sorted((r.lang, list(r.grams)) for r in fitted.collect())
 
 
-def _smallest(slim: DataFrame, rows: int) -> DataFrame:
-    """Rows of the `rows` smallest hashes of each language: every partition keeps so many at most before any shuffle."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, pa.Table] = {}
-        for batch in batches:
-            for lang in pc.unique(batch.column("lang")).to_pylist():
-                new = pa.Table.from_batches([batch.filter(pc.equal(batch.column("lang"), lang))])
-                h = new.column("h").to_numpy()
-                if lang in kept:
-                    old = kept[lang]
-                    if old.num_rows >= rows:
-                        new = new.filter(pa.array(h < old.column("h")[rows - 1].as_py()))
-                    new = pa.concat_tables([old, new])
-                kept[lang] = new.sort_by([("h", "ascending"), ("i", "ascending")]).slice(0, rows).combine_chunks()
-        for table in kept.values():
-            yield from table.to_batches(max_chunksize=500)
-
-    return slim.mapInArrow(cut, slim.schema)
-
-
 def _judge(part: pa.RecordBatch, at: int, names: list[str], profiles: list[np.ndarray], max_distance: float):
     texts = pc.utf8_lower(strings(part.column(at))).to_pylist()
     dist, size = distances(texts, profiles)
