@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import align_up, utf16_bytes
@@ -76,19 +78,23 @@ def charset_index(chars: DataFrame, codepoint: str = "cp", cap: int = 0xD800) ->
 
 def characters(df: DataFrame, text: str) -> DataFrame:
     """(cp) distinct code points of a text column."""
-    return df.select(F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").select(F.ascii("ch").alias("cp")).distinct()
+    own = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("ch"))  # a row's own characters once, before any exchange
+    return own.where("ch <> ''").select(F.ascii("ch").alias("cp")).distinct()
 
 
-def first_difference(a: Column, b: Column) -> Column:
-    """Place of the first byte in which two values differ; their shorter length where one begins the other; null if equal.
-
-    Halves of the range are compared as wholes, so that long values aren't exploded."""
-    common = F.least(F.octet_length(a), F.octet_length(b))
-    steps = F.array(*[F.lit(1 << k).cast("bigint") for k in range(30, -1, -1)])
+@F.pandas_udf("bigint")
+def _first_difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None or x == y:
+            out.append(None)
+            continue
+        n = min(len(x), len(y))
+        differ = np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)
+        out.append(int(differ.argmax()) if differ.any() else n)
+    return pd.Series(out, dtype="Int64")
 
-    def further(at: Column, step: Column) -> Column:
-        begin = lambda x: F.substring(x, F.lit(1), (at + step).cast("int"))
-        return F.when((at + step <= common) & (begin(a) == begin(b)), at + step).otherwise(at)
 
-    n = F.aggregate(steps, F.lit(0).cast("bigint"), further)
-    return F.when(a != b, n)
+def first_difference(a: Column, b: Column) -> Column:
+    """Place of the first byte in which two values differ; their shorter length where one begins the other; null if equal."""
+    return _first_difference(a, b)

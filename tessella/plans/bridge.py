@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..codecs import dat, font, lzss, utf
 from ..functions import scalar
+from ..functions.partitioning import spread
 from ..operators import ordered, patching
 from ..sources import members
-from ..sources.tables import dat_columns, dat_rows, new_archive
+from ..sources.tables import dat_columns, new_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -87,7 +88,7 @@ def aligned_layout(spark: SparkSession, d: str) -> DataFrame:
 @_query("""with c as (select distinct unicode(ch) cp from (select unnest(string_split(text, '')) ch from documents) where ch <> ''),
  i as (select cp, cast(row_number() over (order by cp) - 1 as bigint) idx from c where cp < 55296) select cp, idx, min(idx) over (partition by cp // 32) base from i""")
 def charset_index(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.charset_index(ordered.characters(_t(spark, d, "documents"), "text"))
+    return ordered.charset_index(ordered.characters(spread(_t(spark, d, "documents").select("text")), "text"))
 
 
 # --- scalar functions
@@ -130,7 +131,7 @@ def sidecar_names(spark: SparkSession, d: str) -> DataFrame:
 @_query("select doc_id, cast(strlen(text) as bigint) first_diff from documents")
 def first_difference(spark: SparkSession, d: str) -> DataFrame:
     raw = F.encode("text", "UTF-8")
-    return _t(spark, d, "documents").select("doc_id", ordered.first_difference(raw, F.encode(F.concat("text", F.lit("x")), "UTF-8")).alias("first_diff"))
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", ordered.first_difference(raw, F.encode(F.concat("text", F.lit("x")), "UTF-8")).alias("first_diff"))
 
 
 # --- the patch engine
@@ -234,8 +235,8 @@ def _dat(df: DataFrame, key: str, files: int) -> DataFrame:
     columns = dat_columns(df.schema)
 
     def both(table: pa.Table) -> pa.Table:
-        d = dat.read_dat(dat.write_dat(dat.Dat(columns, dat_rows(columns, zip(*(c.to_pylist() for c in table.columns))))))
-        return pa.table({c[0]: [row[i][0] for row in d.rows] for i, c in enumerate(columns)})
+        raw = dat.write_columns(columns, [c.to_numpy() for c in table.columns])
+        return pa.table({name: cells[:, 0] for (name, _, _), cells in zip(*dat.read_columns(raw))})
 
     return _through(df, files, key, both)
 
@@ -258,7 +259,7 @@ def lzss_roundtrip(spark: SparkSession, d: str) -> DataFrame:
             b["head"] = [lzss.decompress(lzss.compress(raw := s.encode()), len(raw)).decode() for s in b["head"]]
             yield b
 
-    return _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 1024).alias("head")).mapInPandas(run, "doc_id bigint, head string")
+    return spread(_t(spark, d, "documents").select("doc_id", F.substring("text", 1, 1024).alias("head"))).mapInPandas(run, "doc_id bigint, head string")
 
 
 @_query("select page_id, url, html from pages")
@@ -306,7 +307,7 @@ def wrd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @_query("""with c as (select distinct unicode(ch) cp from (select unnest(string_split(text, '')) ch from documents) where ch <> '') select cp, cp % 4096 x, (cp * 7) % 4096 y from c where cp < 55296""")
 def spft_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     cp = F.col("cp")
-    chars = ordered.characters(_t(spark, d, "documents"), "text").where("cp < 55296")
+    chars = ordered.characters(spread(_t(spark, d, "documents").select("text")), "text").where("cp < 55296")
     rows = chars.select(F.lit("f").alias("path"), F.lit("F").alias("font_name"), F.lit(6).alias("unknown6"), F.lit(0).alias("bit_flags"), F.lit(1).alias("scale_flag"), cp.alias("codepoint"), (cp % 4096).alias("x"), ((cp * 7) % 4096).alias("y"), F.lit(8).alias("width"), F.lit(9).alias("height"), F.lit(-1).alias("kern_left"), F.lit(0).alias("kern_right"), F.lit(1).alias("kern_vertical"))
     return members.parse_spft(members.build_spft(rows)).select(F.col("codepoint").alias("cp"), "x", "y")
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..codecs import archive, font, text
 
+#: Parsed rows that are handed on together.
+ROWS = 20_000
+
 SPC = "path string, ord int, name binary, compression_flag int, unknown_flag int, data binary, unknown1 binary, unknown2 bigint"
 STX = "path string, table_idx int, unknown bigint, pos int, id bigint, text string"
 WRD = "path string, kind string, seq int, opcode int, args array<int>, name string, a bigint, b bigint"
@@ -68,9 +71,15 @@ def _parse(content: DataFrame, parse: Callable, schema: str) -> DataFrame:
     names = [c.split()[0] for c in _split(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(list(parse(path, bytes(data))), columns=names, dtype=object)
+                rows += parse(path, bytes(data))
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return content.select("path", "content").mapInPandas(run, schema)
 
@@ -136,11 +145,25 @@ def params(wrd: DataFrame) -> DataFrame:
 def _build(df: DataFrame, build: Callable[[list[dict]], bytes]) -> DataFrame:
     """(path, content): one file of the rows of each path."""
 
-    def run(table):
-        rows = table.to_pylist()
-        return pa.table({"path": pa.array([rows[0]["path"]], pa.string()), "content": pa.array([build(rows)], pa.binary())})
+    def made(files: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in files], pa.string()), pa.array([c for _, c in files], pa.binary())], names=["path", "content"])
 
-    return df.groupBy("path").applyInArrow(run, "path string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if rows and r["path"] != rows[0]["path"]:
+                    done.append((rows[0]["path"], build(rows)))
+                    rows = []
+                rows.append(r)
+            if done:
+                yield made(done)
+        if rows:
+            yield made([(rows[0]["path"], build(rows))])
+
+    # files follow each other within a partition, so that one at a time is held
+    return df.repartition("path").sortWithinPartitions("path").mapInArrow(run, "path string, content binary")
 
 
 def build_spc(df: DataFrame) -> DataFrame:

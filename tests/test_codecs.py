@@ -229,3 +229,14 @@ def test_hostile_input_raises_and_nothing_else(read, name):
             read(bytes(b))
         except Malformed:
             pass
+
+
+def test_dat_by_columns_is_the_same_table():
+    d = dat.Dat([("id", "u32", 1), ("tags", "utf16", 2), ("key", "label", 1), ("w", "f32", 1), ("k2", "ascii", 1), ("big", "u64", 1)], [[[1], ["red", "é"], ["k1"], [1.25], ["z"], [2**64 - 1]], [[2], ["é", "red"], ["k1"], [-0.5], ["k1"], [3]]])
+    columns = [np.array([r[i] for r in d.rows], dtype=object if k in ("utf16", "label", "ascii", "u64") else None) for i, (_, k, _) in enumerate(d.schema)]
+    assert dat.write_columns(d.schema, columns) == dat.write_dat(d)
+    schema, got = dat.read_columns(dat.write_dat(d))
+    assert schema == d.schema and [[list(c[r]) for c in got] for r in range(2)] == d.rows
+    for bad in ([[256]], [[-1]], [[1, 2]], [[1.5]]):
+        with pytest.raises(Malformed):
+            dat.write_columns([("a", "u8", 1)], [np.array(bad)])
