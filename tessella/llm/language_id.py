@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .text import CHUNK_BYTES, slices, strings
 
 #: Places in a profile, of a language or a document.
@@ -224,7 +225,7 @@ def identify(docs: DataFrame, fitted: list[tuple[str, list[int]]], id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(near), pa.array(keep)], names=[id_col, "language", "distance", "keep"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("language", T.StringType()), T.StructField("distance", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, fitted: list[tuple[str, list[int]]], text_col: str = "text", max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -239,4 +240,4 @@ def keep_identified(docs: DataFrame, fitted: list[tuple[str, list[int]]], text_c
                 if keep.any():
                     yield part if keep.all() else part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

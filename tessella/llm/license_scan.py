@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .text import Words, slices, strings
 
 #: Share of a template's tokens that a block must hold.
@@ -124,7 +125,7 @@ class Join:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
 
 
 def token_counts(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> dict[int, int]:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.partitioning import spread
 from .lineage import cut
 from .text import Words, mix, segment_starts, slices, strings
 
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, group_id) of the members of all groups of near-duplicates."""
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    signed = cut(texts.mapInArrow(_sign, "id bigint, p1 bigint, p2 bigint, sig binary"))
+    signed = cut(spread(texts).mapInArrow(_sign, "id bigint, p1 bigint, p2 bigint, sig binary"))
     copies = signed.groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = cut(signed.select("id", "p1", "p2").join(copies, ["p1", "p2"]).select("id", "rep"))
     gone = same.where("id <> rep").select("id").distinct()

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .text import Words, slices, strings
 
 #: Repeats of fewer words count as ordinary language; a power of two.
@@ -145,7 +146,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.count.astype(np.int64)), pa.array(covered), pa.array(longest)], names=[id_col, "n_words", "covered_words", "longest_repeat"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_words", "covered_words", "longest_repeat")])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def judge(measured: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -174,4 +175,4 @@ def keep_quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN_W
                 if good.any():
                     yield part if good.all() else part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .text import slices, span_hash, strings
 
 #: Characters past its end that may decide where a pre-token ends.
@@ -258,7 +259,8 @@ def count_edited(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
 
     names = ["n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_edited"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in names])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits")).mapInArrow(run, schema)
+    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
+    return spread(slim).mapInArrow(run, schema)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:

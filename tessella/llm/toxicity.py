@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .text import Words, slices, strings
 
 #: Labelled rows that are fitted on, at most.
@@ -165,4 +166,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(p > cutoff)], names=[id_col, "score", "toxic"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
