@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalar import align_up, utf16_bytes
 
@@ -82,7 +82,7 @@ def characters(df: DataFrame, text: str) -> DataFrame:
     return own.where("ch <> ''").select(F.ascii("ch").alias("cp")).distinct()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _first_difference(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
