@@ -108,3 +108,24 @@ def test_plans_prune_and_push_down(spark, sf_dir):
     assert "ReadSchema: struct<l_suppkey:bigint,l_returnflag:string>" in scan
     assert "In(opcode" not in plan(q["dialogue_lines"](spark, sf_dir)) and plan(q["dialogue_lines"](spark, sf_dir)).count("Exchange hashpartitioning") >= 1
     assert "Exchange SinglePartition" not in plan(q["overlay_collisions"](spark, sf_dir))
+
+
+def test_importing_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 30 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), check=True, timeout=120)
+
+
+def test_small_tables_are_spread_and_large_ones_left(spark, sf_dir):
+    from tessella.functions.partitioning import spread
+
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "REPARTITION_BY_NUM" in spread(small)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert spread(small) is small
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(spread(small).collect()) == sorted(small.collect())
