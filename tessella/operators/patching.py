@@ -85,6 +85,16 @@ def report(decided: DataFrame, missing: DataFrame, entries: DataFrame) -> DataFr
     return done.crossJoin(missing.agg(F.count("*").alias("missing"))).crossJoin(entries.agg(F.count("*").alias("entries"), F.count_distinct("cpk").alias("archives"), F.count_distinct("cpk", "cpk_path").alias("files")))
 
 
+def drift_by_archive(decided: DataFrame) -> DataFrame:
+    """(cpk, n_drift) of the archives with drifted entries."""
+    return decided.where("drift").groupBy("cpk").agg(F.count("*").alias("n_drift"))
+
+
+def merge_reports(reports: DataFrame) -> DataFrame:
+    """One row: the sums of all counters of a union of reports."""
+    return reports.agg(*(F.sum(c).alias(c) for c in reports.columns))
+
+
 def updated(slots: DataFrame, decided: DataFrame) -> DataFrame:
     """All slots, those that entries applied to with their new text."""
     last = decided.groupBy(*MEMBER, "table_idx", "pos").agg(F.max_by("new_text", "ord").alias("__new"), F.max("applied").alias("__applied"))

@@ -189,6 +189,25 @@ def missing_records(spark: SparkSession, d: str) -> DataFrame:
     return patching.resolve(*_patch(spark, d))[1].select("id")
 
 
+_SHARDED_SQL = _PATCH_SQL.replace("select p.doc_id, src", "select p.doc_id, 'docs' || p.doc_id % 4 || '.cpk' cpk, src")
+
+
+def _sharded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same patch over four archives."""
+    return tuple(df.withColumn("cpk", F.concat(F.lit("docs"), F.col("id") % 4, F.lit(".cpk"))) for df in _patch(spark, d))
+
+
+@_query(_SHARDED_SQL + " select cpk, count(*) n_drift from j where cur <> src group by cpk")
+def drift_by_archive(spark: SparkSession, d: str) -> DataFrame:
+    return patching.drift_by_archive(patching.decide(patching.resolve(*_sharded(spark, d))[0]))
+
+
+@_query(_PATCH_SQL + " select cast(2 * count(cur) as bigint) applied, cast(2 * count(*) filter (cur = tgt) as bigint) already from j")
+def report_union(spark: SparkSession, d: str) -> DataFrame:
+    one = drift_report(spark, d).select("applied", "already")
+    return patching.merge_reports(one.unionByName(one))
+
+
 @_query("select md5(text) text_md5, count(*) n from documents group by text having count(*) > 1")
 def duplicate_slots(spark: SparkSession, d: str) -> DataFrame:
     return patching.duplicate_keys(_t(spark, d, "documents"), ["text"]).select(F.md5("text").alias("text_md5"), "n")

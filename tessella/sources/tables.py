@@ -124,7 +124,7 @@ class UtfSource(DataSource):
         return "utf"
 
     def schema(self) -> T.StructType:
-        with open(found(self.options["path"])[0], "rb") as f:
+        with open(found(self.options["path"], ".utf")[0], "rb") as f:
             t = utf.read_utf(f.read())
         fields: dict[str, T.StructField] = {}
         for c in t.columns:
@@ -136,13 +136,30 @@ class UtfSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _UtfReader(self.options["path"], schema)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return _StagedWriter(self.options["path"], overwrite, schema, "utf")
+
+
+def utf_columns(schema: T.StructType) -> list[utf.Column]:
+    """The columns of a DataFrame as a table's: kinds and storage classes from the metadata, else by type and stored in each row.
+
+    A constant column's value is that of the rows; it is put in by the writer."""
+    plain = {"tinyint": "s8", "smallint": "s16", "int": "s32", "bigint": "s64", "float": "f32", "double": "f64", "string": "string", "binary": "data", "decimal(20,0)": "u64"}
+    out = []
+    for f in schema:
+        kind = f.metadata.get("utf.type") or plain.get(f.dataType.simpleString())
+        if kind is None:
+            raise ValueError(f"NO_KIND: {f.name} of type {f.dataType.simpleString()} needs utf.type metadata")
+        out.append(utf.Column(f.name, f.metadata.get("utf.storage", "per_row"), kind))
+    return out
+
 
 class _UtfReader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType):
         self.path, self.names = path, schema.names
 
     def partitions(self):
-        return [_Part(p) for p in found(self.path)]
+        return [_Part(p) for p in found(self.path, ".utf")]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
@@ -247,7 +264,7 @@ class _StagedWriter(DataSourceWriter):
             for p in found(self.path, "." + self.kind):
                 os.remove(p)
         try:
-            for name, content in (self._dat if self.kind == "dat" else self._cpk)(messages):
+            for name, content in {"dat": self._dat, "cpk": self._cpk, "utf": self._utf}[self.kind](messages):
                 part = f"{self.path}/_{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
                     f.write(content)
@@ -265,6 +282,19 @@ class _StagedWriter(DataSourceWriter):
             if rows:  # a table without rows can't be read
                 yield f"part-{i:05d}.dat", dat.write_dat(dat.Dat(columns, rows))
 
+    def _utf(self, messages) -> Iterator[tuple[str, bytes]]:
+        table = next((f.metadata["utf.table"] for f in self.schema if "utf.table" in f.metadata), "Table")
+        for i, m in enumerate(messages):
+            columns = utf_columns(self.schema)
+            rows = [{c.name: _plain(c.type, v if v is not None else utf.zero(c.type)) for c, v in zip(columns, r)} for r in self._rows([m])]
+            for c in columns:
+                if c.storage.startswith("constant"):
+                    values = [r[c.name] for r in rows]
+                    if any(v != values[0] for v in values):
+                        raise ValueError(f"NOT_CONSTANT: {c.name}")
+                    c.constant = values[0] if values else utf.zero(c.type)
+            yield f"part-{i:05d}.utf", utf.write_utf(utf.Table(table, columns, rows))
+
     def _cpk(self, messages) -> Iterator[tuple[str, bytes]]:
         by: dict[str, list[dict]] = {}
         for r in self._rows(messages):

@@ -283,6 +283,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.utf").write_bytes(utf.write_utf(t))
     got = spark.read.format("utf").load(str(tmp_path / "t.utf")).first()
     assert int(got.u) == 2**64 - 1 and got.c == "k"
+    again = spark.read.format("utf").load(str(tmp_path / "t.utf")).coalesce(1)
+    again.write.format("utf").mode("append").save(str(tmp_path / "utf"))
+    back = spark.read.format("utf").load(str(tmp_path / "utf"))
+    assert back.collect() == again.collect() and back.schema["c"].metadata["utf.storage"] == "constant"
 
 
 def test_whole_file_formats_round_trip_through_spark(spark, tmp_path):
