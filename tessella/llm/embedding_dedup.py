@@ -36,6 +36,8 @@ from .minhash_dedup import components
 #: Cosine from which two vectors are near-duplicates.
 THRESHOLD = 0.95
 SHARD_ROWS, OVERLAP, SAMPLE_PER_SHARD, ROUNDS = 2000, 2, 32, 6
+#: Centroids, and vectors that the driver places them by, at most; a larger table has larger shards.
+MOST_SHARDS, MOST_SAMPLED = 16_384, 65_536
 #: Nearest and random candidates of a vector, edges kept of either, and the pruning factor.
 NEAR, RANDOM, NEAR_EDGES, RANDOM_EDGES, ALPHA = 64, 48, 16, 12, 1.2
 BEAM = 24
@@ -59,11 +61,11 @@ def centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     x = unit(sample)
     c = x[:k].copy()
     for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            mean = x[own == j].sum(axis=0) if (own == j).any() else c[j]
-            norm = np.linalg.norm(mean)
-            c[j] = mean / norm if norm > 0 else c[j]
+        own = np.concatenate([(x[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        mean = np.zeros_like(c)
+        np.add.at(mean, own, x)
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        c = np.where(norm > 0, mean / np.maximum(norm, 1e-30), c)
     return c
 
 
@@ -217,11 +219,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     for r in reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
         own = reps.where(F.col("dim") == r.dim).select("id", "vec")
         overlap, beam = OVERLAP, BEAM
-        k = max(1, ceil(r.n / shard_rows))
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(max(k * SAMPLE_PER_SHARD, AUDIT_ROWS)).collect()
-        x = np.array([s.vec for s in sample], np.float32)
-        middles = centroids(x[: k * SAMPLE_PER_SHARD], k)
-        asked = {s.id: s.vec for s in sample[:AUDIT_ROWS]}
+        k = min(max(1, ceil(r.n / shard_rows)), MOST_SHARDS)
+        sample = own.orderBy(F.xxhash64("id"), "id").limit(max(min(k * SAMPLE_PER_SHARD, MOST_SAMPLED), AUDIT_ROWS)).toArrow()
+        x = matrix(sample.column("vec"))
+        middles = centroids(x[: max(k, min(k * SAMPLE_PER_SHARD, MOST_SAMPLED))], k)
+        asked = dict(zip(sample.column("id").to_pylist()[:AUDIT_ROWS], x[:AUDIT_ROWS]))
         true = _brute(own, asked, threshold)
         while True:
             found = cut(_search(own, middles, min(overlap, k), beam, threshold, sorted(asked)))
@@ -237,7 +239,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return groups.select(F.col("id").cast(kind).alias(id_col), F.col("root").cast(kind).alias("group_id"))
 
 
-def _brute(own: DataFrame, asked: dict[int, list[float]], threshold: float) -> set[tuple[int, int]]:
+def _brute(own: DataFrame, asked: dict[int, np.ndarray], threshold: float) -> set[tuple[int, int]]:
     """All true pairs of the audited queries, each compared with every row."""
     ids, q = np.array(list(asked)), unit(np.array(list(asked.values()), np.float64))
 
