@@ -1,15 +1,24 @@
 """Packing documents into training windows by lexical retrieval.
 
-The documents are spread over shards by a hash of their id, about `SHARD_DOCS` to a
-shard; every shard has a BM25 inverted index of its own. Within a shard the documents
-are gone through in order of id: each one not used yet seeds a window of `WINDOW` words,
-queries the index with all its distinct words, and its unused neighbours fill the window
-greedily in order of score (ties by smaller id), each taken whole where it still fits.
-Neighbours share at least one word with the seed. Scores are exact within the shard.
+The documents are gone through in order of id (ties by text, null ids last): each one not
+used yet seeds a window of `WINDOW` words, queries a BM25 index of the whole table with
+all its distinct words, and its unused neighbours fill the window greedily in order of
+score (ties by the order of documents), each taken whole where it still fits. Neighbours
+share at least one word with the seed.
+
+The index is cut into shards of about `SHARD_DOCS` documents, consecutive in their order,
+which decide about cost only: document frequencies, number and mean length are those of
+the whole table, and every seed queries every shard. A round looks up the next `SEEDS`
+unused documents at once: of each size class (documents up to a power of two words) a
+shard returns the `NEAR` best, and the least score down to which that is all it has. The
+driver fills windows from these in order; a seed for whose room they don't suffice is
+looked up again, alone and with more candidates. So the result is that of one index and one pass. Work
+grows with seeds times documents, the square of the table; the driver holds three numbers
+a document and one round's candidates.
 
 A document longer than the window first fills windows of its own; what remains of it,
 shorter than a window, is packed like a short document. Each word of each document is in
-exactly one window.
+exactly one window. A window has the shard of its seed and a number within that shard.
 
 Cases: null, empty and wordless texts have nothing to pack and are in no window; rows
 that repeat an id, or have a null id, are packed each on their own; an empty table has
@@ -19,20 +28,28 @@ no windows; further columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .lineage import shared_folder, shared_table
 from .text import Words, strings
 
 #: Words in a window, and documents in a shard on average.
 WINDOW, SHARD_DOCS = 4096, 4096
 K1, B = 1.2, 0.75
+#: Seeds of a round and candidates that they get of a size class; seeds that a shard scores at a time.
+SEEDS, NEAR, BATCH = 400, 16, 32
+#: A word in at least one of so many documents of a shard is scored by a matrix product.
+DENSE = 16
 
 
 class Index:
-    """BM25 postings of the texts of one shard, without those of words that only one text has."""
+    """BM25 postings of texts that are all held at once, without those of words that only one text has."""
 
     def __init__(self, w: Words, k1: float = K1, b: float = B):
         n = len(w.count)
@@ -125,6 +142,302 @@ def pack(w: Words, window: int = WINDOW) -> list[tuple[int, int, int, int, int,
     return out
 
 
+def _postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted words, in how many texts each is, and these texts with how often they have it."""
+    order = np.argsort(w.hash, kind="stable")
+    word, text = w.hash[order], w.text[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    tf = np.diff(np.append(at, len(word)))
+    words, size = np.unique(word[at], return_counts=True)
+    return words, size.astype(np.int32), text[at].astype(np.int32), tf.astype(np.int32)
+
+
+class Shard:
+    """Unused texts of a shard, the smallest rest first, and their part in the score of each word."""
+
+    def __init__(self, words, size, text, tf, count, rest, used, mean):
+        self.by_size = np.flatnonzero(~used)
+        self.by_size = self.by_size[np.argsort(rest[self.by_size], kind="stable")]
+        self.rest, self.words, self.n = rest[self.by_size], words, len(self.by_size)
+        place = np.full(len(count), -1, np.int64)
+        place[self.by_size] = np.arange(self.n)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[text] / mean))
+        keep = place[text] >= 0
+        self.doc, self.part = place[text][keep], part[keep]
+        term = np.repeat(np.arange(len(words)), size)[keep]
+        self.at = np.searchsorted(term, np.arange(len(words) + 1))
+
+    def look_up(self, vocabulary: np.ndarray, idf: np.ndarray, asked: list[np.ndarray], bounds: np.ndarray, near: int) -> Iterator[tuple]:
+        """(seed, class, text, score) of the best, and with text -1 the score down to which none of a class is left out."""
+        if not self.n:
+            return
+        i = np.minimum(np.searchsorted(self.words, vocabulary), len(self.words) - 1)
+        start = self.at[i]
+        size = np.where(self.words[i] == vocabulary, self.at[i + 1] - start, 0)
+        dense = size * DENSE >= self.n
+        column = np.cumsum(dense) - 1
+        matrix = np.zeros((int(dense.sum()), self.n))
+        for k in np.flatnonzero(dense):
+            span = slice(start[k], start[k] + size[k])
+            matrix[column[k], self.doc[span]] = idf[k] * self.part[span]
+        ends = np.searchsorted(self.rest, bounds, "right")
+        for a in range(0, len(asked), BATCH):
+            part = asked[a : a + BATCH]
+            row, term = np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part)
+            full = dense[term]
+            query = np.zeros((len(part), len(matrix)))
+            query[row[full], column[term[full]]] = 1
+            score = query @ matrix
+            row, term = row[~full], term[~full]
+            many = size[term]
+            total = int(many.sum())
+            if total:
+                at = np.repeat(start[term] - (np.cumsum(many) - many), many) + np.arange(total)
+                key = np.repeat(row * self.n, many) + self.doc[at]
+                score += np.bincount(key, weights=np.repeat(idf[term], many) * self.part[at], minlength=score.size).reshape(score.shape)
+            # equal texts get equal scores whichever way their parts were added
+            score = np.round(score, 9)
+            last, found = 0, None
+            for c, end in enumerate(ends.tolist()):
+                if end == last:
+                    # the class has nothing that the one below doesn't have
+                    if found is not None:
+                        yield found[0], np.full(len(found[0]), c), *found[1:]
+                    continue
+                last = end
+                s = score[:, :end]
+                if end > near:
+                    top = np.argpartition(s, end - near, axis=1)[:, end - near :]
+                else:
+                    top = np.broadcast_to(np.arange(end), (len(part), end))
+                best = np.take_along_axis(s, top, axis=1)
+                r, j = np.nonzero(best > 0)
+                seed, text, value = r + a, self.by_size[top[r, j]], best[r, j]
+                if end > near:
+                    floor = best.min(axis=1)
+                    cut_off = np.flatnonzero(floor > 0)
+                    seed, text, value = np.append(seed, cut_off + a), np.append(text, np.full(len(cut_off), -1)), np.append(value, floor[cut_off])
+                found = (seed, text, value)
+                yield seed, np.full(len(seed), c), text, value
+
+
+def _merge(seed: np.ndarray, kind: np.ndarray, text: np.ndarray, score: np.ndarray, near: int | None = None) -> tuple[np.ndarray, ...]:
+    """What several shards returned, in order of seed, class, score and text; of `near` or more only the best."""
+    left = text < 0
+    key = seed * 64 + kind
+    floor = np.zeros(int(key.max()) + 1 if len(key) else 0)
+    np.maximum.at(floor, key[left], score[left])
+    order = np.lexsort((text, -score, key))
+    order = order[~left[order]]
+    # what isn't above the floor may have others before it that weren't returned
+    order = order[score[order] > floor[key[order]]]
+    seed, kind, text, score, key = seed[order], kind[order], text[order], score[order], key[order]
+    if near is not None and len(key):
+        place = np.arange(len(key)) - np.searchsorted(key, key)
+        over = place == near
+        np.maximum.at(floor, key[over], score[over])
+        keep = place < near
+        # ties with the first one left out aren't complete; they stay out
+        keep &= score > floor[key]
+        seed, kind, text, score = seed[keep], kind[keep], text[keep], score[keep]
+    some = np.flatnonzero(floor > 0)
+    return np.append(seed, some // 64), np.append(kind, some % 64), np.append(text, np.full(len(some), -1)), np.append(score, floor[some])
+
+
+def _index(slim: DataFrame, shards: int, kind: T.DataType) -> DataFrame:
+    """A row for each shard: its texts' ids, in order, their words and the postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if len(b)]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            w = Words(strings(table.column("text")))
+            ids = table.column("id").combine_chunks()
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (w.count.astype(np.int64), *_postings(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "count", "words", "size", "text", "tf"])
+
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("count", "words", "size", "text", "tf"))])
+    order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    return shared_table(slim.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "packing-index")
+
+
+def _frequencies(index: DataFrame) -> DataFrame:
+    """Of each shard its words that two documents of the table or more have, sorted, and how many have them."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, word, size in zip(*(c.to_pylist() for c in batch.columns)):
+                word = np.frombuffer(word, np.int64)
+                for a in range(0, len(word), 1 << 16):
+                    part = word[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.repeat(pa.scalar(shard, pa.int64()), len(part)), pa.array(np.frombuffer(size, np.int32)[a : a + (1 << 16)])], names=["word", "shard", "n"])
+
+    def pick(table):
+        word = table.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        df = table.column("df").to_numpy()[order].astype(np.int64)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "words": pa.array([word[order].tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+
+    every = index.select("shard", "words", "size").mapInArrow(words, "word bigint, shard bigint, n int")
+    shared = every.groupBy("word").agg(F.sum("n").alias("df"), F.collect_list("shard").alias("shards")).where("df > 1")
+    return shared_table(shared.select("word", "df", F.explode("shards").alias("shard")).groupBy("shard").applyInArrow(pick, "shard bigint, words binary, df binary"), "packing-frequencies")
+
+
+class _Seeds:
+    """The words of documents that seed windows; those of the shards at hand are held."""
+
+    def __init__(self, index: DataFrame, frequencies: DataFrame, n: int):
+        self.rows = index.select("shard", "words", "size", "text").join(frequencies.select("shard", F.col("words").alias("shared"), "df"), "shard", "left")
+        self.n, self.held = n, {}
+
+    def _fetch(self, shard: int, n_texts: int) -> tuple[np.ndarray, ...]:
+        row = self.rows.where(F.col("shard") == shard).first()
+        word, size, text = np.frombuffer(row.words, np.uint64), np.frombuffer(row["size"], np.int32), np.frombuffer(row.text, np.int32)
+        idf, term = np.zeros(len(word)), np.repeat(np.arange(len(word)), size)
+        if row.shared:
+            shared, df = np.frombuffer(row.shared, np.uint64), np.frombuffer(row.df, np.int64)
+            idf[np.searchsorted(word, shared)] = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        keep = idf[term] > 0
+        term, text = term[keep], text[keep]
+        by = np.argsort(text, kind="stable")
+        return word, idf, term[by].astype(np.int32), np.searchsorted(text[by], np.arange(n_texts + 1))
+
+    def words(self, shard: int, texts: np.ndarray, n_texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's shared words and their idf."""
+        if shard not in self.held:
+            self.held[shard] = self._fetch(shard, n_texts)
+        word, idf, term, at = self.held[shard]
+        terms = [term[at[t] : at[t + 1]] for t in texts]
+        return [(word[t], idf[t]) for t in terms]
+
+    def forget(self, shard: int) -> None:
+        self.held = {k: x for k, x in self.held.items() if k >= shard}
+
+
+def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], idf: list[np.ndarray], rest: np.ndarray, used: np.ndarray, mean: float, bounds: np.ndarray, near: int) -> tuple[np.ndarray, ...]:
+    """`_merge` of what all shards return for seeds of these words; texts are numbered through the table."""
+    vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
+    weight = np.concatenate(idf)[first]
+    asked = np.split(inverse, np.cumsum([len(x) for x in word])[:-1])
+    bits = np.packbits(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                count = np.frombuffer(row["count"], np.int64)
+                base = begin[row["shard"]]
+                low = base // 8
+                gone = np.unpackbits(bits[low : (base + len(count)) // 8 + 1])[base - low * 8 :][: len(count)].astype(bool)
+                if not len(row["words"]) or gone.all():
+                    continue
+                shard = Shard(np.frombuffer(row["words"], np.uint64), *(np.frombuffer(row[k], np.int32) for k in ("size", "text", "tf")), count, count % bounds[-1], gone, mean)
+                own = list(zip(*shard.look_up(vocabulary, weight, asked, bounds, near)))
+                if own:
+                    seed, kind, text, score = (np.concatenate(x) for x in own)
+                    got = [tuple(np.concatenate(x) for x in zip(*got, (seed, kind, np.where(text < 0, text, text + base), score)))]
+                    got = [_merge(*got[0], near)]
+        if len(got[0][0]):
+            seed, kind, text, score = got[0]
+            yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(kind.astype(np.int8)), pa.array(text), pa.array(score)], names=["seed", "kind", "doc", "score"])
+
+    got = index.select("shard", "count", "words", "size", "text", "tf").coalesce(max(1, index.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "seed int, kind tinyint, doc bigint, score double").toArrow()
+    seed, kind, text, score = (got.column(k).to_numpy() for k in range(4))
+    return _merge(seed.astype(np.int64), kind.astype(np.int64), text, score)
+
+
+def _pack_sharded(slim: DataFrame, shards: int, window: int, names: list[str], kinds: list[T.DataType], seeds: int = SEEDS, near: int = NEAR) -> DataFrame:
+    spark = slim.sparkSession
+    index = _index(slim, shards, kinds[3])
+    sizes = sorted((r.shard, np.frombuffer(r["count"], np.int64)) for r in index.select("shard", "count").toLocalIterator())
+    begin = {s: int(b) for (s, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c in sizes]))}
+    count = np.concatenate([c for _, c in sizes])
+    n, mean = len(count), max(float(count.mean()), 1e-9)
+    rest = count % window
+    used = rest == 0
+    source = _Seeds(index, _frequencies(index), n)
+    bounds = np.array(sorted({min(1 << k, window) for k in range(window.bit_length() + 1)}))
+    path = f"{shared_folder(spark)}/packing-windows-{uuid.uuid4().hex}.parquet"
+    order = [s for s, _ in sizes]
+    starts = np.array([begin[s] for s in order])
+    out: list[tuple] = []
+    none = np.zeros(0, np.int64)
+    number, at, room, again = 0, 0, None, near
+    held: dict[int, tuple] = {}
+
+    def owner(doc: int) -> int:
+        return int(np.searchsorted(starts, doc, "right")) - 1
+
+    def write() -> None:
+        cols = list(zip(*out))
+        made = pa.table([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["shard", "window", "place", "doc", "first_word", "score", "n_words"])
+        spark.createDataFrame(made).coalesce(1).write.mode("append").parquet(path)
+        out.clear()
+
+    shard = -1
+    while at < n:
+        if owner(at) != shard:
+            shard, number = owner(at), 0
+        if room is None:
+            whole = int(count[at] - rest[at])
+            for a in range(0, whole, window):
+                out.append((order[shard], number, 0, at, a, 0.0, window))
+                number += 1
+            if used[at]:
+                held.pop(at, None)
+                at += 1
+                continue
+            used[at] = True
+            out.append((order[shard], number, 0, at, whole, 0.0, int(rest[at])))
+            room, place = window - int(rest[at]), 1
+        stuck = at not in held
+        while not stuck:
+            c = int(np.searchsorted(bounds, room))
+            lists, floor = held[at]
+            docs, scores = lists.get(c, (none, none))
+            good = np.flatnonzero(~used[docs] & (rest[docs] <= room))
+            if not len(good):
+                stuck = c in floor
+                break
+            d = int(docs[good[0]])
+            used[d] = True
+            out.append((order[shard], number, place, d, int(count[d] - rest[d]), float(scores[good[0]]), int(rest[d])))
+            room, place = room - int(rest[d]), place + 1
+            if not room:
+                break
+        if not stuck:
+            held.pop(at, None)
+            at, number, room, again = at + 1, number + 1, None, near
+            continue
+        # a seed whose candidates don't suffice alone, and with more of them; else it and the next unused documents
+        alone = at in held
+        again = again * 16 if alone else near
+        many = 1 if alone else max(32, min(seeds, int((~used).sum()) // 32))
+        asked = np.append(at, at + 1 + np.flatnonzero(~used[at + 1 :])[: many - 1])
+        source.forget(order[shard])
+        own = np.searchsorted(starts, asked, "right") - 1
+        word, idf = zip(*(x for k in np.unique(own).tolist() for x in source.words(order[k], asked[own == k] - starts[k], len(sizes[k][1]))))
+        seed, kind, doc, score = _look_up(index, begin, word, idf, rest, used, mean, bounds, again)
+        left = doc < 0
+        key, found, value = (seed * 64 + kind)[~left], doc[~left], score[~left]
+        held.update((d, ({}, {})) for d in asked.tolist())
+        edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key)).tolist()
+        for i, j in zip(edge[:-1], edge[1:]):
+            held[int(asked[key[i] // 64])][0][int(key[i] % 64)] = (found[i:j], value[i:j])
+        for k, c, v in zip(seed[left].tolist(), kind[left].tolist(), score[left].tolist()):
+            held[int(asked[k])][1][c] = v
+        if len(out) > 100_000:
+            write()
+    # an empty part, so that the table is there where nothing was packed
+    out.append((-1, 0, 0, -1, 0, 0.0, 0))
+    write()
+    ids = index.select("shard", F.posexplode("ids").alias("pos", "id")).join(spark.createDataFrame(list(begin.items()), "shard bigint, begin bigint"), "shard")
+    ids = ids.select((F.col("begin") + F.col("pos")).alias("doc"), "id")
+    return spark.read.parquet(path).join(ids, "doc").select("shard", "window", "place", F.col("id").alias(names[3]), "first_word", "n_words", "score")
+
+
 def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece of a document: (shard, window, place, id, first_word, n_words, score)."""
     shards = max(1, math.ceil(docs.count() / shard_docs))
@@ -142,6 +455,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), kind, T.LongType(), T.LongType(), T.DoubleType()]
-    shard = F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards))
-    slim = docs.select(shard.alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.lit(0).cast("bigint").alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if shards > 1:
+        return _pack_sharded(slim.drop("shard"), shards, window, names, kinds)
     return slim.groupBy("shard").applyInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))

@@ -57,3 +57,13 @@ def test_every_word_is_in_one_window(spark, hard_docs, no_docs):
     spans = sorted((x.first_word, x.n_words) for x in rows if x.doc_id == 6)
     assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == 60_000
     assert not {x.doc_id for x in rows} & {3, 4, 5} and pack_windows(no_docs).count() == 0
+
+
+def test_windows_over_several_shards_are_those_of_one_index(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(r.choice([0, 1, 3, 10, 25, 40, 90]))) for _ in range(120)]
+    texts += texts[:20]
+    rows = pack_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), window=40, shard_docs=20).collect()
+    assert len({x.shard for x in rows}) > 3
+    got = sorted((x.shard, x.window, x.place, x.doc_id, x.first_word, x.n_words) for x in rows)
+    assert [x[2:] for x in got] == [x[1:] for x in brute(texts, 40)]
