@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -58,3 +59,19 @@ def test_hard_cases(spark, hard_docs, no_docs):
     assert kept.dtypes == hard_docs.dtypes and kept.count() == sum(x.keep for x in got)
     assert L.fit(no_docs) == [] and L.identify(no_docs, []).count() == 0
     assert {x.language for x in L.identify(hard_docs, []).collect()} == {None} and L.keep_identified(hard_docs, []).count() == 0
+
+
+def test_foreign_text_and_junk_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = random.Random(1)
+    letters = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(n))
+    italian = (
+        "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte "
+        "che nel pensier rinnova la paura tutti gli uomini nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri"
+    )
+    turkish = "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler"
+    foreign = [italian, turkish, letters(3000), letters(40), "привет как дела", "这是一个句子"]
+    own = ["the cat sat on the mat", "ein kleiner satz"]
+    rows = spark.createDataFrame(list(enumerate(foreign + own)), "doc_id bigint, text string")
+    kept = {x.doc_id for x in L.keep_identified(rows, L.fit(docs)).collect()}
+    assert kept == {len(foreign), len(foreign) + 1}
