@@ -1,33 +1,35 @@
 """Packing documents into training windows by lexical retrieval.
 
-The documents are gone through in order of id (ties by text, null ids last): each one not
-used yet seeds a window of `WINDOW` words, queries a BM25 index of the whole table with
-all its distinct words, and its unused neighbours fill the window greedily in order of
-score (ties by the order of documents), each taken whole where it still fits. Neighbours
-share at least one word with the seed.
-
-The index is cut into shards of about `SHARD_DOCS` documents, consecutive in their order,
-which decide about cost only: document frequencies, number and mean length are those of
-the whole table, and every seed queries every shard. A round looks up the next `SEEDS`
-unused documents at once: of each size class (documents up to a power of two words) a
-shard returns the `NEAR` best, and the least score down to which that is all it has. The
-driver fills windows from these in order; a seed for whose room they don't suffice is
-looked up again, alone and with more candidates. So the result is that of one index and one pass. Work
-grows with seeds times documents, the square of the table; the driver holds three numbers
-a document and one round's candidates.
-
-A document longer than the window first fills windows of its own; what remains of it,
-shorter than a window, is packed like a short document. Each word of each document is in
-exactly one window. A window has the shard of its seed and a number within that shard.
+A document longer than the window first fills windows of its own; what remains of it, or
+all of a shorter one, is a piece. Pieces of more than half a window seed a window each,
+for no two of them fit together, and of the others those of smallest hash seed as many
+more as all the pieces' words need. Each seed queries a BM25 index of the whole table with
+all distinct words of its document; its unused neighbours fill its window greedily in
+order of score (ties by hash), each taken whole where it still fits. Neighbours share a
+word with the seed. When the windows take no more, seeds are drawn anew from what is left.
+
+The index is cut into shards of about `SHARD_BYTES` of text, which decide about cost only:
+document frequencies, number and mean length are those of the whole table, and every seed
+queries every shard. `SEEDS` seeds are looked up at a time: the shards return the `NEAR`
+best unused pieces that fit (all of them, not those of a sample), the driver fills these
+windows one after the other, and a window that its `NEAR` best don't fill asks again once
+all seeds had their turn, until it is full or nothing that fits shares a word with it.
+Weights are multiples of 1/`GRAIN`, so that sums of them are exact in single precision:
+results depend neither on shards nor on the order of additions.
+
+Work grows with windows times documents, the square of the table; that is the price of
+exact retrieval with whole documents as queries. The driver holds three numbers and a bit
+a document and the candidates of `SEEDS` seeds.
 
 Cases: null, empty and wordless texts have nothing to pack and are in no window; rows
-that repeat an id, or have a null id, are packed each on their own; an empty table has
-no windows; further columns are ignored.
+that repeat an id, or have a null id, are packed each on their own (rows equal in id and
+text are interchangeable); equal texts tie and go by their hash of id and text; texts of
+any length are packed whole, each word in exactly one window; an empty table has no
+windows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -36,110 +38,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.partitioning import spread
 from .lineage import shared_folder, shared_table
-from .text import Words, strings
+from .text import Words, slices, strings
 
-#: Words in a window, and documents in a shard on average.
-WINDOW, SHARD_DOCS = 4096, 4096
+#: Words in a window, and bytes of text in a shard of the index.
+WINDOW, SHARD_BYTES = 4096, 32 << 20
 K1, B = 1.2, 0.75
-#: Seeds of a round and candidates that they get of a size class; seeds that a shard scores at a time.
-SEEDS, NEAR, BATCH = 400, 16, 32
-#: A word in at least one of so many documents of a shard is scored by a matrix product.
-DENSE = 16
-
-
-class Index:
-    """BM25 postings of texts that are all held at once, without those of words that only one text has."""
-
-    def __init__(self, w: Words, k1: float = K1, b: float = B):
-        n = len(w.count)
-        bits = max(1, int(n).bit_length())
-        low = np.uint64((1 << bits) - 1)
-        key = np.sort((w.hash & ~low) | w.text.astype(np.uint64))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(key)))
-        key = key[at]
-        doc, word = (key & low).astype(np.int64), key & ~low
-        new = np.ones(len(key), bool)
-        new[1:] = word[1:] != word[:-1]
-        term = np.cumsum(new) - 1
-        df = np.bincount(term) if len(term) else np.zeros(0, np.int64)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        size = w.count.astype(np.float64)
-        norm = k1 * (1 - b + b * size / max(size.mean() if n else 1.0, 1e-9))
-        weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
-        shared = df[term] > 1
-        self.n, self.doc, self.weight = n, doc[shared], weight[shared]
-        kept = np.cumsum(df > 1) - 1
-        term = kept[term[shared]]
-        self.n_terms = int(kept[-1]) + 1 if len(kept) else 0
-        by = np.argsort(self.doc, kind="stable")
-        self.terms, self.terms_of = term[by], np.searchsorted(self.doc[by], np.arange(n + 1))
-        self._starts(term)
-
-    def _starts(self, term: np.ndarray) -> None:
-        self.term = term
-        self.at = np.searchsorted(term, np.arange(self.n_terms + 1))
-
-    def forget(self, used: np.ndarray) -> None:
-        """Leaves the postings of used texts out from here on."""
-        keep = ~used[self.doc]
-        self.doc, self.weight = self.doc[keep], self.weight[keep]
-        self._starts(self.term[keep])
-
-    def scores(self, text: int) -> np.ndarray:
-        """BM25 of every text for the distinct words of one of them, weighed once each."""
-        terms = self.terms[self.terms_of[text] : self.terms_of[text + 1]]
-        start, size = self.at[terms], self.at[terms + 1] - self.at[terms]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(self.n)
-        skip = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        at = skip + np.arange(total)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-
-
-def pack(w: Words, window: int = WINDOW) -> list[tuple[int, int, int, int, int, float]]:
-    """(window, place, text, first word, words, score) of all pieces; texts are taken in their order."""
-    n = len(w.count)
-    index = Index(w)
-    rest, first = w.count % window, w.count - w.count % window
-    out, number = [], 0
-    used = rest == 0
-    gone = 0
-    for seed in range(n):
-        for at in range(0, int(first[seed]), window):
-            out.append((number, 0, seed, at, window, 0.0))
-            number += 1
-        if used[seed]:
-            continue
-        used[seed] = True
-        out.append((number, 0, seed, int(first[seed]), int(rest[seed]), 0.0))
-        room, place = window - int(rest[seed]), 1
-        score = index.scores(seed)
-        near = np.flatnonzero((score > 0) & ~used)
-        near = near[np.argsort(-score[near], kind="stable")]
-        size = rest[near]
-        at = 0
-        while at < len(near):
-            fits = np.flatnonzero(size[at:] <= room)
-            if not len(fits):
-                break
-            at += int(fits[0])
-            text = int(near[at])
-            used[text] = True
-            out.append((number, place, text, int(first[text]), int(rest[text]), float(score[text])))
-            room -= int(rest[text])
-            place += 1
-            at += 1
-        number += 1
-        now = int(used.sum())
-        if now - gone > (n - gone) // 4:
-            index.forget(used)
-            gone = now
-    return out
+#: Seeds that are looked up at a time, candidates that each gets, seeds that a shard scores at once, and those whose rarer words it adds up at once.
+SEEDS, NEAR, BATCH, FEW = 2048, 64, 64, 16
+#: A word in at least one of so many pieces of a shard is scored by a matrix product.
+DENSE = 32
+#: Weights are rounded to multiples of one so-manyth.
+GRAIN = 256
+
+_COLUMNS = ["count", "words", "size", "text", "tf"]
+_KINDS = {"count": np.int64, "key": np.uint64, "words": np.uint64, "size": np.int32, "text": np.uint16, "tf": np.uint16, "shared": np.uint64, "df": np.int64}
+#: Of a word in one text no more occurrences are told apart, and no more texts are in a shard.
+_MOST = 0xFFFF
+
+
+def idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def weights(tf: np.ndarray, length: np.ndarray, rarity: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 of one query word, in multiples of 1/GRAIN."""
+    return np.rint(rarity * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))) * GRAIN).astype(np.float32)
 
 
 def _postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,116 +76,103 @@ def _postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(word)))
     words, size = np.unique(word[at], return_counts=True)
-    return words, size.astype(np.int32), text[at].astype(np.int32), tf.astype(np.int32)
+    return words, size.astype(np.int32), text[at], np.minimum(tf, _MOST)
+
+
+def _blob(row: dict, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(row[n] or b"", _KINDS[n]) for n in names]
 
 
 class Shard:
-    """Unused texts of a shard, the smallest rest first, and their part in the score of each word."""
-
-    def __init__(self, words, size, text, tf, count, rest, used, mean):
-        self.by_size = np.flatnonzero(~used)
-        self.by_size = self.by_size[np.argsort(rest[self.by_size], kind="stable")]
-        self.rest, self.words, self.n = rest[self.by_size], words, len(self.by_size)
-        place = np.full(len(count), -1, np.int64)
-        place[self.by_size] = np.arange(self.n)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[text] / mean))
-        keep = place[text] >= 0
-        self.doc, self.part = place[text][keep], part[keep]
-        term = np.repeat(np.arange(len(words)), size)[keep]
-        self.at = np.searchsorted(term, np.arange(len(words) + 1))
-
-    def look_up(self, vocabulary: np.ndarray, idf: np.ndarray, asked: list[np.ndarray], bounds: np.ndarray, near: int) -> Iterator[tuple]:
-        """(seed, class, text, score) of the best, and with text -1 the score down to which none of a class is left out."""
-        if not self.n:
-            return
-        i = np.minimum(np.searchsorted(self.words, vocabulary), len(self.words) - 1)
-        start = self.at[i]
-        size = np.where(self.words[i] == vocabulary, self.at[i + 1] - start, 0)
-        dense = size * DENSE >= self.n
-        column = np.cumsum(dense) - 1
-        matrix = np.zeros((int(dense.sum()), self.n))
-        for k in np.flatnonzero(dense):
-            span = slice(start[k], start[k] + size[k])
-            matrix[column[k], self.doc[span]] = idf[k] * self.part[span]
-        ends = np.searchsorted(self.rest, bounds, "right")
-        for a in range(0, len(asked), BATCH):
-            part = asked[a : a + BATCH]
-            row, term = np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part)
-            full = dense[term]
-            query = np.zeros((len(part), len(matrix)))
-            query[row[full], column[term[full]]] = 1
-            score = query @ matrix
-            row, term = row[~full], term[~full]
-            many = size[term]
+    """The unused pieces of a shard, and what the words of some queries weigh in them."""
+
+    def __init__(self, row: dict, used: np.ndarray, rest: np.ndarray, vocabulary: np.ndarray, rarity: np.ndarray, mean: float):
+        count, words, size, text, tf = _blob(row, *_COLUMNS)
+        self.piece = np.flatnonzero(~used)
+        self.rest, self.n = rest[self.piece], len(self.piece)
+        place = np.full(len(count), -1, np.int32)
+        place[self.piece] = np.arange(self.n)
+        i = np.minimum(np.searchsorted(words, vocabulary), len(words) - 1)
+        known = words[i] == vocabulary
+        of = np.full(len(words), -1, np.int32)
+        of[i[known]] = np.flatnonzero(known)
+        term, doc = np.repeat(of, size), place[text]
+        keep = (doc >= 0) & (term >= 0)
+        term, self.doc = term[keep], doc[keep]
+        self.weight = weights(tf[keep].astype(np.float64), count[text[keep]], rarity[term], mean)
+        # words ascend in the shard and in the vocabulary
+        self.size = np.bincount(term, minlength=len(vocabulary))
+        self.start = np.cumsum(self.size) - self.size
+        #: Frequent words are rows of a matrix.
+        self.dense = (self.size * DENSE >= self.n) & (self.size > 0)
+        self.row = np.cumsum(self.dense) - 1
+        self.matrix = np.zeros((int(self.dense.sum()), self.n), np.float32)
+        full = self.dense[term]
+        self.matrix[self.row[term[full]], self.doc[full]] = self.weight[full]
+
+    def scores(self, asked: list[np.ndarray]) -> np.ndarray:
+        """(queries, pieces) scores of queries that are given by places in the vocabulary."""
+        row, term = np.repeat(np.arange(len(asked), dtype=np.int32), [len(t) for t in asked]), np.concatenate(asked)
+        full = self.dense[term]
+        query = np.zeros((len(asked), len(self.matrix)), np.float32)
+        query[row[full], self.row[term[full]]] = 1
+        score = query @ self.matrix
+        some = ~full & (self.size[term] > 0)
+        row, term = row[some], term[some]
+        for a in range(0, len(asked), FEW):  # so few that their scores stay in the cache, each word's pieces together
+            i, j = np.searchsorted(row, (a, a + FEW))
+            by = np.argsort(term[i:j], kind="stable")
+            t = term[i:j][by]
+            many = self.size[t]
             total = int(many.sum())
             if total:
-                at = np.repeat(start[term] - (np.cumsum(many) - many), many) + np.arange(total)
-                key = np.repeat(row * self.n, many) + self.doc[at]
-                score += np.bincount(key, weights=np.repeat(idf[term], many) * self.part[at], minlength=score.size).reshape(score.shape)
-            # equal texts get equal scores whichever way their parts were added
-            score = np.round(score, 9)
-            last, found = 0, None
-            for c, end in enumerate(ends.tolist()):
-                if end == last:
-                    # the class has nothing that the one below doesn't have
-                    if found is not None:
-                        yield found[0], np.full(len(found[0]), c), *found[1:]
-                    continue
-                last = end
-                s = score[:, :end]
-                if end > near:
-                    top = np.argpartition(s, end - near, axis=1)[:, end - near :]
-                else:
-                    top = np.broadcast_to(np.arange(end), (len(part), end))
-                best = np.take_along_axis(s, top, axis=1)
-                r, j = np.nonzero(best > 0)
-                seed, text, value = r + a, self.by_size[top[r, j]], best[r, j]
-                if end > near:
-                    floor = best.min(axis=1)
-                    cut_off = np.flatnonzero(floor > 0)
-                    seed, text, value = np.append(seed, cut_off + a), np.append(text, np.full(len(cut_off), -1)), np.append(value, floor[cut_off])
-                found = (seed, text, value)
-                yield seed, np.full(len(seed), c), text, value
-
-
-def _merge(seed: np.ndarray, kind: np.ndarray, text: np.ndarray, score: np.ndarray, near: int | None = None) -> tuple[np.ndarray, ...]:
-    """What several shards returned, in order of seed, class, score and text; of `near` or more only the best."""
-    left = text < 0
-    key = seed * 64 + kind
-    floor = np.zeros(int(key.max()) + 1 if len(key) else 0)
-    np.maximum.at(floor, key[left], score[left])
-    order = np.lexsort((text, -score, key))
-    order = order[~left[order]]
-    # what isn't above the floor may have others before it that weren't returned
-    order = order[score[order] > floor[key[order]]]
-    seed, kind, text, score, key = seed[order], kind[order], text[order], score[order], key[order]
-    if near is not None and len(key):
-        place = np.arange(len(key)) - np.searchsorted(key, key)
-        over = place == near
-        np.maximum.at(floor, key[over], score[over])
-        keep = place < near
-        # ties with the first one left out aren't complete; they stay out
-        keep &= score > floor[key]
-        seed, kind, text, score = seed[keep], kind[keep], text[keep], score[keep]
-    some = np.flatnonzero(floor > 0)
-    return np.append(seed, some // 64), np.append(kind, some % 64), np.append(text, np.full(len(some), -1)), np.append(score, floor[some])
-
-
-def _index(slim: DataFrame, shards: int, kind: T.DataType) -> DataFrame:
-    """A row for each shard: its texts' ids, in order, their words and the postings."""
+                at = np.repeat((self.start[t] - (np.cumsum(many) - many)).astype(np.int32), many) + np.arange(total, dtype=np.int32)
+                key = np.repeat((row[i:j][by] - a) * np.int32(self.n), many) + self.doc[at]
+                part = score[a : a + FEW]
+                part += np.bincount(key, weights=self.weight[at], minlength=part.size).reshape(part.shape)
+        return score
+
+
+def _best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, key: np.ndarray, near: int) -> np.ndarray:
+    """Which of some candidates are the `near` best of their seed, in order of seed, score and key."""
+    order = np.lexsort((doc, key, -score, seed))
+    s = seed[order]
+    return order[np.arange(len(s)) - np.searchsorted(s, s) < near]
+
+
+def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
+    """A row for each shard: its texts' ids, their words, hashes and the postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if len(b)]
-        if batches:
-            table = pa.Table.from_batches(batches)
+        part = TaskContext.get().partitionId() << 24
+        held, size = [], 0
+
+        def shard():
+            nonlocal part, held, size
+            table = pa.Table.from_batches(held)
+            part, held, size = part + 1, [], 0
             w = Words(strings(table.column("text")))
-            ids = table.column("id").combine_chunks()
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (w.count.astype(np.int64), *_postings(w))]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "count", "words", "size", "text", "tf"])
+            there = np.flatnonzero(w.count > 0)
+            ids = table.column("id").combine_chunks().take(pa.array(there))
+            place = np.full(len(w.count), -1, np.int32)
+            place[there] = np.arange(len(there))
+            words, many, text, tf = _postings(w)
+            key = table.column("key").to_numpy().view(np.uint64)[there]
+            cols = {"key": key, "count": w.count[there], "words": words, "size": many, "text": place[text], "tf": tf}
+            blobs = [pa.array([x.astype(_KINDS[k]).tobytes()], pa.binary()) for k, x in cols.items()]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "key", *_COLUMNS])
+
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                if held and (size + piece.nbytes > shard_bytes or sum(map(len, held)) + len(piece) > _MOST):
+                    yield shard()
+                held.append(piece)
+                size += piece.nbytes
+        if held:
+            yield shard()
 
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("count", "words", "size", "text", "tf"))])
-    order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    return shared_table(slim.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "packing-index")
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("key", *_COLUMNS))])
+    return shared_table(slim.mapInArrow(run, schema), "packing-index")
 
 
 def _frequencies(index: DataFrame) -> DataFrame:
@@ -269,193 +181,192 @@ def _frequencies(index: DataFrame) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, word, size in zip(*(c.to_pylist() for c in batch.columns)):
-                word = np.frombuffer(word, np.int64)
+                word, size = np.frombuffer(word, np.int64), np.frombuffer(size, np.int32)
                 for a in range(0, len(word), 1 << 16):
                     part = word[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.repeat(pa.scalar(shard, pa.int64()), len(part)), pa.array(np.frombuffer(size, np.int32)[a : a + (1 << 16)])], names=["word", "shard", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.repeat(pa.scalar(shard, pa.int64()), len(part)), pa.array(size[a : a + (1 << 16)])], names=["word", "shard", "n"])
 
     def pick(table):
         word = table.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
         df = table.column("df").to_numpy()[order].astype(np.int64)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "words": pa.array([word[order].tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "shared": pa.array([word[order].tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
 
     every = index.select("shard", "words", "size").mapInArrow(words, "word bigint, shard bigint, n int")
     shared = every.groupBy("word").agg(F.sum("n").alias("df"), F.collect_list("shard").alias("shards")).where("df > 1")
-    return shared_table(shared.select("word", "df", F.explode("shards").alias("shard")).groupBy("shard").applyInArrow(pick, "shard bigint, words binary, df binary"), "packing-frequencies")
-
-
-class _Seeds:
-    """The words of documents that seed windows; those of the shards at hand are held."""
-
-    def __init__(self, index: DataFrame, frequencies: DataFrame, n: int):
-        self.rows = index.select("shard", "words", "size", "text").join(frequencies.select("shard", F.col("words").alias("shared"), "df"), "shard", "left")
-        self.n, self.held = n, {}
-
-    def _fetch(self, shard: int, n_texts: int) -> tuple[np.ndarray, ...]:
-        row = self.rows.where(F.col("shard") == shard).first()
-        word, size, text = np.frombuffer(row.words, np.uint64), np.frombuffer(row["size"], np.int32), np.frombuffer(row.text, np.int32)
-        idf, term = np.zeros(len(word)), np.repeat(np.arange(len(word)), size)
-        if row.shared:
-            shared, df = np.frombuffer(row.shared, np.uint64), np.frombuffer(row.df, np.int64)
-            idf[np.searchsorted(word, shared)] = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        keep = idf[term] > 0
-        term, text = term[keep], text[keep]
-        by = np.argsort(text, kind="stable")
-        return word, idf, term[by].astype(np.int32), np.searchsorted(text[by], np.arange(n_texts + 1))
-
-    def words(self, shard: int, texts: np.ndarray, n_texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's shared words and their idf."""
-        if shard not in self.held:
-            self.held[shard] = self._fetch(shard, n_texts)
-        word, idf, term, at = self.held[shard]
-        terms = [term[at[t] : at[t + 1]] for t in texts]
-        return [(word[t], idf[t]) for t in terms]
-
-    def forget(self, shard: int) -> None:
-        self.held = {k: x for k, x in self.held.items() if k >= shard}
-
-
-def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], idf: list[np.ndarray], rest: np.ndarray, used: np.ndarray, mean: float, bounds: np.ndarray, near: int) -> tuple[np.ndarray, ...]:
-    """`_merge` of what all shards return for seeds of these words; texts are numbered through the table."""
+    return shared_table(shared.select("word", "df", F.explode("shards").alias("shard")).groupBy("shard").applyInArrow(pick, "shard bigint, shared binary, df binary"), "packing-frequencies")
+
+
+def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(seed, words, idf): the shared words of the documents that seed windows; `number` has their (places, seeds) by shard."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] not in number:
+                    continue
+                word, size, text = _blob(row, "words", "size", "text")
+                places, seeds = number[row["shard"]]
+                seed = np.full(_MOST + 1, -1, np.int64)
+                seed[places] = seeds
+                term = np.repeat(np.arange(len(word)), size)
+                keep = seed[text] >= 0
+                text, term = text[keep], term[keep]
+                by = np.argsort(text, kind="stable")
+                text, own = text[by], word[term[by]]
+                at = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (seed[text[at]], np.diff(np.append(at, len(text))), own))], names=["shard", "seeds", "sizes", "words"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seeds, sizes = (np.frombuffer(row[k], np.int64) for k in ("seeds", "sizes"))
+                word, shared, df = _blob(row, "words", "shared", "df")
+                if not len(shared):
+                    continue
+                i = np.minimum(np.searchsorted(shared, word), len(shared) - 1)
+                keep = shared[i] == word
+                ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)].tolist()
+                word, rarity = word[keep], idf(n, df[i[keep]])
+                spans = list(zip([0, *ends[:-1]], ends))
+                yield pa.RecordBatch.from_arrays([pa.array(seeds), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (word, rarity))], names=["seed", "words", "idf"])
+
+    own = index.select("shard", "words", "size", "text").mapInArrow(words, "shard bigint, seeds binary, sizes binary, words binary")
+    return shared_table(own.join(frequencies, "shard").mapInArrow(weigh, "seed bigint, words binary, idf binary").where("length(words) > 0"), "packing-queries")
+
+
+def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, key: np.ndarray, rest: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
+    """(query, piece, score) of the `near` best unused pieces that fit each query's room, in order of query and score."""
     vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
-    weight = np.concatenate(idf)[first]
-    asked = np.split(inverse, np.cumsum([len(x) for x in word])[:-1])
+    every = np.concatenate(rarity)[first]
+    asked = np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in word])[:-1])
     bits = np.packbits(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        least = np.zeros(len(asked), np.float32)
+        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.uint64)]
         for batch in batches:
             for row in batch.to_pylist():
                 count = np.frombuffer(row["count"], np.int64)
                 base = begin[row["shard"]]
                 low = base // 8
                 gone = np.unpackbits(bits[low : (base + len(count)) // 8 + 1])[base - low * 8 :][: len(count)].astype(bool)
-                if not len(row["words"]) or gone.all():
+                if gone.all():
                     continue
-                shard = Shard(np.frombuffer(row["words"], np.uint64), *(np.frombuffer(row[k], np.int32) for k in ("size", "text", "tf")), count, count % bounds[-1], gone, mean)
-                own = list(zip(*shard.look_up(vocabulary, weight, asked, bounds, near)))
-                if own:
-                    seed, kind, text, score = (np.concatenate(x) for x in own)
-                    got = [tuple(np.concatenate(x) for x in zip(*got, (seed, kind, np.where(text < 0, text, text + base), score)))]
-                    got = [_merge(*got[0], near)]
-        if len(got[0][0]):
-            seed, kind, text, score = got[0]
-            yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(kind.astype(np.int8)), pa.array(text), pa.array(score)], names=["seed", "kind", "doc", "score"])
-
-    got = index.select("shard", "count", "words", "size", "text", "tf").coalesce(max(1, index.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "seed int, kind tinyint, doc bigint, score double").toArrow()
-    seed, kind, text, score = (got.column(k).to_numpy() for k in range(4))
-    return _merge(seed.astype(np.int64), kind.astype(np.int64), text, score)
-
-
-def _pack_sharded(slim: DataFrame, shards: int, window: int, names: list[str], kinds: list[T.DataType], seeds: int = SEEDS, near: int = NEAR) -> DataFrame:
-    spark = slim.sparkSession
-    index = _index(slim, shards, kinds[3])
-    sizes = sorted((r.shard, np.frombuffer(r["count"], np.int64)) for r in index.select("shard", "count").toLocalIterator())
-    begin = {s: int(b) for (s, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c in sizes]))}
-    count = np.concatenate([c for _, c in sizes])
-    n, mean = len(count), max(float(count.mean()), 1e-9)
+                shard = Shard(row, gone, count % window, vocabulary, every, mean)
+                own = np.frombuffer(row["key"], np.uint64)
+                found = [got]
+                for a in range(0, len(asked), BATCH):
+                    score = shard.scores(asked[a : a + BATCH])
+                    score[shard.rest > room[a : a + BATCH, None]] = 0
+                    low = np.maximum(least[a : a + BATCH], 0.5)
+                    if shard.n > near:
+                        many = (score >= low[:, None]).sum(axis=1)
+                        for r in np.flatnonzero(many > 2 * near).tolist():
+                            low[r] = max(low[r], np.partition(score[r], shard.n - near)[shard.n - near])
+                    r, j = np.nonzero(score >= low[:, None])
+                    found.append([r + a, shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
+                got = [np.concatenate(x) for x in zip(*found)]
+                best = _best(*got, near)
+                got = [x[best] for x in got]
+                last = np.flatnonzero(np.bincount(got[0], minlength=len(asked)) == near)
+                least[last] = got[2][np.searchsorted(got[0], last, "right") - 1]
+        if len(got[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2])], names=["seed", "doc", "score"])
+
+    got = index.select("shard", "key", *_COLUMNS).mapInArrow(run, "seed int, doc bigint, score float").toArrow()
+    seed, doc, score = (got.column(k).to_numpy() for k in range(3))
+    best = _best(seed, doc, score, key[doc], near)
+    return seed[best], doc[best], score[best]
+
+
+def choose_seeds(rest: np.ndarray, key: np.ndarray, used: np.ndarray, window: int) -> np.ndarray:
+    """The unused pieces that seed windows: those of more than half a window, and the ones of smallest key that the words need besides; the most room first."""
+    left = np.flatnonzero(~used)
+    need = -(-int(rest[left].sum()) // window)
+    large = rest[left] * 2 > window
+    chosen = left[np.lexsort((left, key[left], ~large))[: max(need, int(large.sum()))]]
+    return chosen[np.lexsort((chosen, key[chosen], rest[chosen]))]
+
+
+def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seeds: int = SEEDS, near: int = NEAR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """A row for each piece of a document: (window, place, id, first_word, n_words, score); the seed has place 0 and no score."""
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    index = _index(spread(slim.where("text is not null")), kind, shard_bytes)
+    frequencies = _frequencies(index)
+    sizes = sorted((r["shard"], *_blob(r, "count", "key")) for r in index.select("shard", "count", "key").toArrow().to_pylist())
+    begin = {s: int(b) for (s, _, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c, _ in sizes]))}
+    count = np.concatenate([np.zeros(0, np.int64), *(c for _, c, _ in sizes)])
+    key = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in sizes)])
+    n, mean = len(count), max(float(count.mean()), 1e-9) if len(count) else 1.0
     rest = count % window
     used = rest == 0
-    source = _Seeds(index, _frequencies(index), n)
-    bounds = np.array(sorted({min(1 << k, window) for k in range(window.bit_length() + 1)}))
     path = f"{shared_folder(spark)}/packing-windows-{uuid.uuid4().hex}.parquet"
-    order = [s for s, _ in sizes]
-    starts = np.array([begin[s] for s in order])
     out: list[tuple] = []
-    none = np.zeros(0, np.int64)
-    number, at, room, again = 0, 0, None, near
-    held: dict[int, tuple] = {}
-
-    def owner(doc: int) -> int:
-        return int(np.searchsorted(starts, doc, "right")) - 1
-
-    def write() -> None:
-        cols = list(zip(*out))
-        made = pa.table([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["shard", "window", "place", "doc", "first_word", "score", "n_words"])
-        spark.createDataFrame(made).coalesce(1).write.mode("append").parquet(path)
-        out.clear()
-
-    shard = -1
-    while at < n:
-        if owner(at) != shard:
-            shard, number = owner(at), 0
-        if room is None:
-            whole = int(count[at] - rest[at])
-            for a in range(0, whole, window):
-                out.append((order[shard], number, 0, at, a, 0.0, window))
-                number += 1
-            if used[at]:
-                held.pop(at, None)
-                at += 1
-                continue
-            used[at] = True
-            out.append((order[shard], number, 0, at, whole, 0.0, int(rest[at])))
-            room, place = window - int(rest[at]), 1
-        stuck = at not in held
-        while not stuck:
-            c = int(np.searchsorted(bounds, room))
-            lists, floor = held[at]
-            docs, scores = lists.get(c, (none, none))
-            good = np.flatnonzero(~used[docs] & (rest[docs] <= room))
-            if not len(good):
-                stuck = c in floor
-                break
-            d = int(docs[good[0]])
-            used[d] = True
-            out.append((order[shard], number, place, d, int(count[d] - rest[d]), float(scores[good[0]]), int(rest[d])))
-            room, place = room - int(rest[d]), place + 1
-            if not room:
+
+    def write(least: int) -> None:
+        if len(out) >= least:
+            cols = list(zip(*out)) or [()] * 6
+            made = pa.table([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["window", "place", "doc", "first_word", "n_words", "score"])
+            spark.createDataFrame(made).coalesce(1).write.mode("append").parquet(path)
+            out.clear()
+
+    number = 0
+    for doc in np.lexsort((np.arange(n), key))[: n if (count >= window).any() else 0]:
+        for a in range(0, int(count[doc] - rest[doc]), window):
+            out.append((number, 0, int(doc), a, window, None))
+            number += 1
+        write(1_000_000)
+    starts = np.array(list(begin.values()), np.int64)
+    shards = list(begin)
+    while not used.all():
+        seed = choose_seeds(rest, key, used, window)
+        used[seed] = True
+        room, place = window - rest[seed], np.ones(len(seed), np.int64)
+        out.extend(zip(range(number, number + len(seed)), [0] * len(seed), seed.tolist(), (count - rest)[seed].tolist(), rest[seed].tolist(), [None] * len(seed)))
+        open_ = np.ones(len(seed), bool)
+        asking = None
+        while not used.all():
+            open_ &= room >= rest[~used].min()
+            if not open_.any():
                 break
-        if not stuck:
-            held.pop(at, None)
-            at, number, room, again = at + 1, number + 1, None, near
-            continue
-        # a seed whose candidates don't suffice alone, and with more of them; else it and the next unused documents
-        alone = at in held
-        again = again * 16 if alone else near
-        many = 1 if alone else max(32, min(seeds, int((~used).sum()) // 32))
-        asked = np.append(at, at + 1 + np.flatnonzero(~used[at + 1 :])[: many - 1])
-        source.forget(order[shard])
-        own = np.searchsorted(starts, asked, "right") - 1
-        word, idf = zip(*(x for k in np.unique(own).tolist() for x in source.words(order[k], asked[own == k] - starts[k], len(sizes[k][1]))))
-        seed, kind, doc, score = _look_up(index, begin, word, idf, rest, used, mean, bounds, again)
-        left = doc < 0
-        key, found, value = (seed * 64 + kind)[~left], doc[~left], score[~left]
-        held.update((d, ({}, {})) for d in asked.tolist())
-        edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key)).tolist()
-        for i, j in zip(edge[:-1], edge[1:]):
-            held[int(asked[key[i] // 64])][0][int(key[i] % 64)] = (found[i:j], value[i:j])
-        for k, c, v in zip(seed[left].tolist(), kind[left].tolist(), score[left].tolist()):
-            held[int(asked[k])][1][c] = v
-        if len(out) > 100_000:
-            write()
-    # an empty part, so that the table is there where nothing was packed
-    out.append((-1, 0, 0, -1, 0, 0.0, 0))
-    write()
-    ids = index.select("shard", F.posexplode("ids").alias("pos", "id")).join(spark.createDataFrame(list(begin.items()), "shard bigint, begin bigint"), "shard")
+            if asking is None:
+                own = np.searchsorted(starts, seed, "right") - 1
+                asking = _queries(index, frequencies, n, {shards[k]: (seed[own == k] - starts[k], np.flatnonzero(own == k)) for k in np.unique(own).tolist()})
+            todo = np.flatnonzero(open_)
+            for a in range(0, len(todo), seeds):
+                some = todo[a : a + seeds]
+                some = some[room[some] >= rest[~used].min()] if not used.all() else some[:0]
+                if not len(some):
+                    break
+                rows = asking.where(F.col("seed").between(int(some[0]), int(some[-1]))).toArrow()
+                at = rows.column("seed").to_numpy()
+                order = np.argsort(at)
+                order = order[np.isin(at[order], some)]
+                open_[np.setdiff1d(some, at)] = False  # no word of theirs is shared
+                some = at[order]
+                if not len(some):
+                    continue
+                words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float64)))
+                query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
+                edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
+                for q, s in enumerate(some.tolist()):
+                    i, j = edge[q], edge[q + 1]
+                    left = int(room[s])
+                    for k in (i + np.flatnonzero(~used[doc[i:j]])).tolist():
+                        d = int(doc[k])
+                        if rest[d] <= left:
+                            used[d] = True
+                            out.append((number + s, int(place[s]), d, int(count[d] - rest[d]), int(rest[d]), float(score[k]) / GRAIN))
+                            left -= int(rest[d])
+                            place[s] += 1
+                    room[s] = left
+                    if j - i < near:  # that was all there is for this window
+                        open_[s] = False
+                write(1_000_000)
+        number += len(seed)
+    write(0)
+    ids = index.select("shard", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(spark.createDataFrame(list(begin.items()), "shard bigint, begin bigint")), "shard")
     ids = ids.select((F.col("begin") + F.col("pos")).alias("doc"), "id")
-    return spark.read.parquet(path).join(ids, "doc").select("shard", "window", "place", F.col("id").alias(names[3]), "first_word", "n_words", "score")
-
-
-def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """A row for each piece of a document: (shard, window, place, id, first_word, n_words, score)."""
-    shards = max(1, math.ceil(docs.count() / shard_docs))
-    kind = docs.schema[id_col].dataType
-    names = ["shard", "window", "place", id_col, "first_word", "n_words", "score"]
-
-    def run(table):
-        table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
-        rows = pack(Words(strings(table.column("text"))), window)
-        cols = list(zip(*rows)) or [()] * 6
-        text = pa.array(cols[2], pa.int64())
-        return pa.table(
-            [pa.repeat(table.column("shard")[0], len(rows)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), table.column("id").take(text), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64())],
-            names=names,
-        )
-
-    kinds = [T.LongType(), T.LongType(), T.LongType(), kind, T.LongType(), T.LongType(), T.DoubleType()]
-    slim = docs.select(F.lit(0).cast("bigint").alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if shards > 1:
-        return _pack_sharded(slim.drop("shard"), shards, window, names, kinds)
-    return slim.groupBy("shard").applyInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    return spark.read.parquet(path).join(ids, "doc").select("window", "place", F.col("id").alias(id_col), "first_word", "n_words", "score")

@@ -1,69 +1,98 @@
-import math
 import random
 import re
 from collections import Counter, defaultdict
 
-import pyarrow as pa
+import numpy as np
+import pytest
 
-from tessella.llm.packing import pack, pack_windows
-from tessella.llm.text import Words
+from tessella.llm.packing import GRAIN, choose_seeds, idf, pack_windows, weights
 
 
-def brute(texts, window, k1=1.2, b=0.75):
-    words = [re.findall(r"[a-z0-9]+", t.lower()) for t in texts]
-    n, mean = len(words), sum(map(len, words)) / len(words)
+def keys(spark, rows):
+    """The hashes by which ties are broken."""
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "k int, id bigint, text string")
+    return [int(r.h) % 2**64 for r in df.selectExpr("k", "xxhash64(cast(id as string), text) h").orderBy("k").collect()]
+
+
+def brute(rows, key, window, seeds, near):
+    """Every seed against every unused piece, word by word: {window: [(id, first word, words), ...] in order of place}."""
+    keep = [k for k, (_, t) in enumerate(rows) if re.search("[a-z0-9]", (t or "").lower())]
+    words = [re.findall(r"[a-z0-9]+", rows[k][1].lower()) for k in keep]
+    ids, key = [rows[k][0] for k in keep], np.array([key[k] for k in keep], np.uint64)
+    count = np.array([len(w) for w in words], np.int64)
+    n, mean, rest, tf = len(words), count.mean() if keep else 1.0, count % window, [Counter(w) for w in words]
     df = Counter(w for t in words for w in set(t))
 
     def score(q, d):
-        tf = Counter(words[d])
-        return sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(words[d]) / mean)) for w in set(words[q]) if df[w] > 1 and tf[w])
-
-    out, number, used = [], 0, [len(t) % window == 0 for t in words]
-    for s in range(n):
-        whole = len(words[s]) // window * window
-        for at in range(0, whole, window):
-            out.append((number, 0, s, at, window))
-            number += 1
-        if used[s]:
-            continue
-        used[s], room, place = True, window - (len(words[s]) - whole), 1
-        out.append((number, 0, s, whole, len(words[s]) - whole))
-        for d in sorted((d for d in range(n) if not used[d] and score(s, d) > 0), key=lambda d: (-round(score(s, d), 9), d)):
-            rest = len(words[d]) % window
-            if rest <= room:
-                used[d], room = True, room - rest
-                out.append((number, place, d, len(words[d]) - rest, rest))
-                place += 1
-        number += 1
-    return out
-
-
-def test_windows_match_brute_force():
-    r = random.Random(2)
-    for _ in range(15):
-        v = r.choice([20, 100])
-        texts = [" ".join(f"w{int(r.random() ** 2 * v)}" for _ in range(r.choice([0, 3, 10, 25, 40, 90]))) for _ in range(25)]
-        assert [x[:5] for x in pack(Words(pa.array(texts, pa.large_string())), 40)] == brute(texts, 40)
+        return sum(float(weights(np.array([float(tf[d][w])]), count[[d]], idf(n, np.array([df[w]])), mean)[0]) for w in set(words[q]) if df[w] > 1 and tf[d][w])
+
+    out = [[(ids[d], a, window)] for d in range(n) for a in range(0, int(count[d] - rest[d]), window)]
+    used = rest == 0
+    while not used.all():
+        chosen = choose_seeds(rest, key, used, window)
+        used[chosen] = True
+        room = {int(s): window - int(rest[s]) for s in chosen}
+        own = {int(s): [(ids[s], int(count[s] - rest[s]), int(rest[s]))] for s in chosen}
+        open_ = [int(s) for s in chosen]
+        while open_ and not used.all():
+            again = []
+            open_ = [s for s in open_ if room[s] >= rest[~used].min()]
+            for a in range(0, len(open_), seeds):
+                lists = {}
+                for s in open_[a : a + seeds]:
+                    fits = [d for d in range(n) if not used[d] and rest[d] <= room[s] and score(s, d) > 0]
+                    lists[s] = sorted(fits, key=lambda d: (-score(s, d), key[d], d))[:near]  # noqa: B023
+                for s, found in lists.items():
+                    for d in found:
+                        if not used[d] and rest[d] <= room[s]:
+                            used[d] = True
+                            room[s] -= int(rest[d])
+                            own[s].append((ids[d], int(count[d] - rest[d]), int(rest[d])))
+                    if len(found) == near:
+                        again.append(s)
+            open_ = again
+        out += own.values()
+    return sorted(out)
+
+
+def windows(df):
+    by = defaultdict(list)
+    for x in df.collect():
+        by[x.window].append((x.place, x.doc_id, x.first_word, x.n_words))
+    return sorted([t[1:] for t in sorted(rows)] for rows in by.values())
+
+
+@pytest.mark.parametrize("shard_bytes, seeds, near", [(10**6, 1000, 1000), (2000, 7, 5), (2000, 3, 2)])
+def test_windows_match_brute_force_whatever_the_shards(spark, shard_bytes, seeds, near):
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(r.choice([0, 1, 3, 10, 25, 40, 90]))) for _ in range(120)]
+    rows = list(enumerate(texts + ["alone here", "Alone, there"] + texts[:20]))
+    got = pack_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), window=40, seeds=seeds, near=near, shard_bytes=shard_bytes)
+    assert windows(got) == brute(rows, keys(spark, rows), 40, seeds, near)
+
+
+def test_neighbours_share_a_word_and_score_as_bm25(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (2, "a b x"), (3, "x x y z")]
+    got = {x.doc_id: x for x in pack_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), window=20).collect()}
+    assert sum(x.place == 0 and x.score is None for x in got.values()) == len({x.window for x in got.values()})
+    for x in got.values():
+        if x.place:
+            seed = next(y for y in got.values() if y.window == x.window and not y.place)
+            words = [t.split() for _, t in rows]
+            df = Counter(w for t in words for w in set(t))
+            own = Counter(words[x.doc_id - 1])
+            want = sum(np.log1p((3 - df[w] + 0.5) / (df[w] + 0.5)) * own[w] * 2.2 / (own[w] + 1.2 * (0.25 + 0.75 * sum(own.values()) / (19 / 3))) for w in set(words[seed.doc_id - 1]) if df[w] > 1 and own[w])
+            assert abs(x.score - want) < 12 / GRAIN
 
 
 def test_every_word_is_in_one_window(spark, hard_docs, no_docs):
-    rows = pack_windows(hard_docs, window=500, shard_docs=3).collect()
+    rows = pack_windows(hard_docs, window=500).collect()
     size = defaultdict(int)
     for x in rows:
-        size[x.shard, x.window] += x.n_words
+        size[x.window] += x.n_words
     assert max(size.values()) <= 500
     want = sum(len(re.findall("[a-z0-9]+", x.text or "")) for x in hard_docs.collect())
     assert sum(size.values()) == want
     spans = sorted((x.first_word, x.n_words) for x in rows if x.doc_id == 6)
     assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == 60_000
     assert not {x.doc_id for x in rows} & {3, 4, 5} and pack_windows(no_docs).count() == 0
-
-
-def test_windows_over_several_shards_are_those_of_one_index(spark):
-    r = random.Random(5)
-    texts = [" ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(r.choice([0, 1, 3, 10, 25, 40, 90]))) for _ in range(120)]
-    texts += texts[:20]
-    rows = pack_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), window=40, shard_docs=20).collect()
-    assert len({x.shard for x in rows}) > 3
-    got = sorted((x.shard, x.window, x.place, x.doc_id, x.first_word, x.n_words) for x in rows)
-    assert [x[2:] for x in got] == [x[1:] for x in brute(texts, 40)]

@@ -8,7 +8,7 @@ from tessella.llm.text import Words
 
 from .conftest import prose
 from .test_op1_minhash_dedup import brute as groups
-from .test_op6_packing import brute as windows
+from .test_op6_packing import brute as packed, keys, windows
 from .test_op9_repetition import brute as repeats
 
 
@@ -19,7 +19,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(90, None, "en", "s", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((x.doc_id, x.window, x.place, x.first_word, x.n_words) for x in P.run(spark, str(tmp_path)).collect())
+    got = windows(P.run(spark, str(tmp_path)))
     kept = []
     for i, t, *_ in rows:
         words = (t or "").lower().split()
@@ -29,8 +29,7 @@ def test_run_matches_brute_force(spark, tmp_path):
             kept.append((i, t))
     of = groups(kept)
     kept = sorted((i, t) for i, t in kept if of.get(i, i) == i)
-    want = sorted((kept[d][0], w, p, at, n) for w, p, d, at, n in windows([t for _, t in kept], 4096))
-    assert got == want
+    assert got == packed(kept, keys(spark, kept), 4096, 2048, 64)
 
 
 def test_stages_keep_the_columns_of_documents(spark, hard_docs, no_docs, sf_dir):
