@@ -43,7 +43,7 @@ from .lineage import shared_folder, shared_table
 from .text import Words, slices, strings
 
 #: Words in a window, and bytes of text in a shard of the index.
-WINDOW, SHARD_BYTES = 4096, 32 << 20
+WINDOW, SHARD_BYTES = 4096, 16 << 20
 K1, B = 1.2, 0.75
 #: Seeds that are looked up at a time, candidates that each gets, seeds that a shard scores at once, and those whose rarer words it adds up at once.
 SEEDS, NEAR, BATCH, FEW = 2048, 64, 64, 16
@@ -67,16 +67,23 @@ def weights(tf: np.ndarray, length: np.ndarray, rarity: np.ndarray, mean: float)
     return np.rint(rarity * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))) * GRAIN).astype(np.float32)
 
 
-def _postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted words, in how many texts each is, and these texts with how often they have it."""
-    order = np.argsort(w.hash, kind="stable")
-    word, text = w.hash[order], w.text[order]
+def _postings(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Words in each text; sorted words, in how many texts each is, and these texts with how often they have it."""
+    w = Words(texts)
+    count, word, text = w.count, w.hash, w.text.astype(np.int32)
+    del w
+    order = np.argsort(word, kind="stable")
+    word, text = word[order], text[order]
+    del order
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(word)))
-    words, size = np.unique(word[at], return_counts=True)
-    return words, size.astype(np.int32), text[at], np.minimum(tf, _MOST)
+    tf = np.minimum(np.diff(np.append(at, len(word))), _MOST)
+    word, text = word[at], text[at]
+    new = np.ones(len(word), bool)
+    new[1:] = word[1:] != word[:-1]
+    at = np.flatnonzero(new)
+    return count, word[at], np.diff(np.append(at, len(word))), text, tf
 
 
 def _blob(row: dict, *names: str) -> list[np.ndarray]:
@@ -151,14 +158,13 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
             nonlocal part, held, size
             table = pa.Table.from_batches(held)
             part, held, size = part + 1, [], 0
-            w = Words(strings(table.column("text")))
-            there = np.flatnonzero(w.count > 0)
+            count, words, many, text, tf = _postings(strings(table.column("text")))
+            there = np.flatnonzero(count > 0)
             ids = table.column("id").combine_chunks().take(pa.array(there))
-            place = np.full(len(w.count), -1, np.int32)
+            place = np.full(len(count), -1, np.int32)
             place[there] = np.arange(len(there))
-            words, many, text, tf = _postings(w)
             key = table.column("key").to_numpy().view(np.uint64)[there]
-            cols = {"key": key, "count": w.count[there], "words": words, "size": many, "text": place[text], "tf": tf}
+            cols = {"key": key, "count": count[there], "words": words, "size": many, "text": place[text], "tf": tf}
             blobs = [pa.array([x.astype(_KINDS[k]).tobytes()], pa.binary()) for k, x in cols.items()]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "key", *_COLUMNS])
 
@@ -175,26 +181,35 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
     return shared_table(slim.mapInArrow(run, schema), "packing-index")
 
 
-def _frequencies(index: DataFrame) -> DataFrame:
-    """Of each shard its words that two documents of the table or more have, sorted, and how many have them."""
+def _frequencies(index: DataFrame, shards: int) -> DataFrame:
+    """Of each shard its words that two documents of the table or more have, sorted, and how many have them.
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words move as arrays: of each shard those of one range of hashes are a row."""
+    ranges = max(16, shards // 4)
+    edges = (np.arange(1, ranges, dtype=np.float64) * 2.0**64 / ranges).astype(np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, word, size in zip(*(c.to_pylist() for c in batch.columns)):
-                word, size = np.frombuffer(word, np.int64), np.frombuffer(size, np.int32)
-                for a in range(0, len(word), 1 << 16):
-                    part = word[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.repeat(pa.scalar(shard, pa.int64()), len(part)), pa.array(size[a : a + (1 << 16)])], names=["word", "shard", "n"])
+            for row in batch.to_pylist():
+                word, size = _blob(row, "words", "size")
+                at = [0, *np.searchsorted(word, edges).tolist(), len(word)]
+                spans = [(r, i, j) for r, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in spans], pa.int32()), pa.repeat(pa.scalar(row["shard"], pa.int64()), len(spans)), *(pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (word, size))], names=["range", "shard", "words", "size"])
+
+    def add(table):
+        rows = [(r["shard"], *_blob(r, "words", "size")) for r in table.to_pylist()]
+        every, inverse = np.unique(np.concatenate([w for _, w, _ in rows]), return_inverse=True)
+        df = np.bincount(inverse, weights=np.concatenate([n for _, _, n in rows])).astype(np.int64)[inverse]
+        ends = np.cumsum([len(w) for _, w, _ in rows])
+        own = [(s, w[d > 1], d[d > 1]) for (s, w, _), d in zip(rows, np.split(df, ends[:-1]))]
+        return pa.table([table.column("range"), pa.array([s for s, _, _ in own], pa.int64()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([w for _, w, _ in own], [d for _, _, d in own]))], names=["range", "shard", "shared", "df"])
 
-    def pick(table):
-        word = table.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        df = table.column("df").to_numpy()[order].astype(np.int64)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "shared": pa.array([word[order].tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+    def join(table):
+        table = table.sort_by("range")
+        return pa.table([table.column("shard").slice(0, 1), *(pa.array([b"".join(table.column(c).to_pylist())], pa.binary()) for c in ("shared", "df"))], names=["shard", "shared", "df"])
 
-    every = index.select("shard", "words", "size").mapInArrow(words, "word bigint, shard bigint, n int")
-    shared = every.groupBy("word").agg(F.sum("n").alias("df"), F.collect_list("shard").alias("shards")).where("df > 1")
-    return shared_table(shared.select("word", "df", F.explode("shards").alias("shard")).groupBy("shard").applyInArrow(pick, "shard bigint, shared binary, df binary"), "packing-frequencies")
+    counted = index.select("shard", "words", "size").mapInArrow(cut, "range int, shard bigint, words binary, size binary").groupBy("range").applyInArrow(add, "range int, shard bigint, shared binary, df binary")
+    return shared_table(counted.groupBy("shard").applyInArrow(join, "shard bigint, shared binary, df binary"), "packing-frequencies")
 
 
 def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -227,7 +242,7 @@ def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int,
                 i = np.minimum(np.searchsorted(shared, word), len(shared) - 1)
                 keep = shared[i] == word
                 ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)].tolist()
-                word, rarity = word[keep], idf(n, df[i[keep]])
+                word, rarity = word[keep], idf(n, df[i[keep]]).astype(np.float32)
                 spans = list(zip([0, *ends[:-1]], ends))
                 yield pa.RecordBatch.from_arrays([pa.array(seeds), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (word, rarity))], names=["seed", "words", "idf"])
 
@@ -238,7 +253,7 @@ def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int,
 def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, key: np.ndarray, rest: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
     """(query, piece, score) of the `near` best unused pieces that fit each query's room, in order of query and score."""
     vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
-    every = np.concatenate(rarity)[first]
+    every = np.concatenate(rarity)[first].astype(np.float64)
     asked = np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in word])[:-1])
     bits = np.packbits(used)
 
@@ -272,9 +287,15 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
                 last = np.flatnonzero(np.bincount(got[0], minlength=len(asked)) == near)
                 least[last] = got[2][np.searchsorted(got[0], last, "right") - 1]
         if len(got[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2])], names=["seed", "doc", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2]), pa.array(got[3].view(np.int64))], names=["seed", "doc", "score", "key"])
+
+    def merge(table):
+        seed, doc, score, key = (table.column(k).to_numpy() for k in range(4))
+        return table.take(pa.array(_best(seed, doc, score, key.view(np.uint64), near))).select(["seed", "doc", "score"])
 
-    got = index.select("shard", "key", *_COLUMNS).mapInArrow(run, "seed int, doc bigint, score float").toArrow()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    own = index.select("shard", "key", *_COLUMNS).coalesce(max(1, cores)).mapInArrow(run, "seed int, doc bigint, score float, key bigint")
+    got = own.groupBy(F.pmod("seed", F.lit(max(1, cores)))).applyInArrow(merge, "seed int, doc bigint, score float").toArrow()
     seed, doc, score = (got.column(k).to_numpy() for k in range(3))
     best = _best(seed, doc, score, key[doc], near)
     return seed[best], doc[best], score[best]
@@ -294,11 +315,11 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     index = _index(spread(slim.where("text is not null")), kind, shard_bytes)
-    frequencies = _frequencies(index)
     sizes = sorted((r["shard"], *_blob(r, "count", "key")) for r in index.select("shard", "count", "key").toArrow().to_pylist())
     begin = {s: int(b) for (s, _, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c, _ in sizes]))}
     count = np.concatenate([np.zeros(0, np.int64), *(c for _, c, _ in sizes)])
     key = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in sizes)])
+    frequencies = _frequencies(index, len(sizes))
     n, mean = len(count), max(float(count.mean()), 1e-9) if len(count) else 1.0
     rest = count % window
     used = rest == 0
@@ -348,7 +369,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 some = at[order]
                 if not len(some):
                     continue
-                words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float64)))
+                words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
                 query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):

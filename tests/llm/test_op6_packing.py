@@ -24,7 +24,7 @@ def brute(rows, key, window, seeds, near):
     df = Counter(w for t in words for w in set(t))
 
     def score(q, d):
-        return sum(float(weights(np.array([float(tf[d][w])]), count[[d]], idf(n, np.array([df[w]])), mean)[0]) for w in set(words[q]) if df[w] > 1 and tf[d][w])
+        return sum(float(weights(np.array([float(tf[d][w])]), count[[d]], idf(n, np.array([df[w]])).astype(np.float32).astype(float), mean)[0]) for w in set(words[q]) if df[w] > 1 and tf[d][w])
 
     out = [[(ids[d], a, window)] for d in range(n) for a in range(0, int(count[d] - rest[d]), window)]
     used = rest == 0
