@@ -32,11 +32,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.partitioning import spread
 from .lineage import shared_folder, shared_table
@@ -140,6 +141,18 @@ class Shard:
         return score
 
 
+@contextmanager
+def _one_a_batch(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, rows go to Python one by one: a row is a whole shard."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, key: np.ndarray, near: int) -> np.ndarray:
     """Which of some candidates are the `near` best of their seed, in order of seed, score and key."""
     order = np.lexsort((doc, key, -score, seed))
@@ -319,7 +332,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     begin = {s: int(b) for (s, _, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c, _ in sizes]))}
     count = np.concatenate([np.zeros(0, np.int64), *(c for _, c, _ in sizes)])
     key = np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in sizes)])
-    frequencies = _frequencies(index, len(sizes))
+    with _one_a_batch(spark):
+        frequencies = _frequencies(index, len(sizes))
     n, mean = len(count), max(float(count.mean()), 1e-9) if len(count) else 1.0
     rest = count % window
     used = rest == 0
@@ -354,7 +368,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 break
             if asking is None:
                 own = np.searchsorted(starts, seed, "right") - 1
-                asking = _queries(index, frequencies, n, {shards[k]: (seed[own == k] - starts[k], np.flatnonzero(own == k)) for k in np.unique(own).tolist()})
+                with _one_a_batch(spark):
+                    asking = _queries(index, frequencies, n, {shards[k]: (seed[own == k] - starts[k], np.flatnonzero(own == k)) for k in np.unique(own).tolist()})
             todo = np.flatnonzero(open_)
             for a in range(0, len(todo), seeds):
                 some = todo[a : a + seeds]
@@ -370,7 +385,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not len(some):
                     continue
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
-                query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
+                with _one_a_batch(spark):
+                    query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):
                     i, j = edge[q], edge[q + 1]
