@@ -56,13 +56,57 @@ def test_groups_match_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_a_pivot_unlike_the_others_does_not_hide_them():
+def test_looks_follow_the_posterior():
     # least_matches is the posterior's tail: checked against the sum of the binomial's terms
     for n, m in M.least_matches(0.6, 0.005):
         tail = lambda k: sum(comb(n + 1, j) * 0.6**j * 0.4 ** (n + 1 - j) for j in range(k + 1))  # noqa: B023, E731
         assert tail(m) >= 0.005 and (m == 0 or tail(m - 1) < 0.005)
 
 
+def boilerplate(n, r):
+    """Documents that share half of their words and are otherwise unlike, some with a near copy."""
+    shared = prose(60, 77)
+    rows = [shared + " " + prose(60, 1000 + k, 10**6) for k in range(n)]
+    return rows + [edited(t, 0.03, r) for t in rows[: n // 20]]
+
+
+def test_a_pivot_unlike_the_others_does_not_hide_them(spark):
+    # all are in one bucket with the first one, and only near-copies of each other
+    r = random.Random(6)
+    rows = list(enumerate(boilerplate(60, r)))
+    want = brute(rows)
+    compared = []
+    for exact in (10**6, 4):  # all pairs of a bucket, or buckets divided further
+        got = {x.doc_id: x.group_id for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), exact=exact, compared=compared).collect()}
+        assert want and got == want
+
+
+def test_pairs_grow_with_rows_where_many_share_boilerplate(spark):
+    sizes = []
+    for n in (500, 2000):
+        rows, compared = list(enumerate(boilerplate(n, random.Random(n)))), []
+        got = {x.doc_id: x.group_id for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), exact=16, compared=compared).collect()}
+        copies = {n + k: k for k in range(n // 20)}
+        assert sum(got.get(c) == k for c, k in copies.items()) >= 0.95 * len(copies) and len(got) <= 2 * len(copies)
+        sizes.append(sum(compared))
+    assert sizes[1] < 6 * sizes[0]  # 16 times as many pairs in all
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b, c = (prose(80, k) for k in (1, 2, 3))
+    w = Words(pa.array([a, b], pa.large_string()))
+    first = min(range(2), key=lambda k: tuple(int(p[k]) for p in M.prints(w)))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, a, "x"), (3, b, "x"), (4, c, "x"), (4, None, "y"), (5, c + " tail", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, loser string").withColumn("__loser", M.F.lit(1)).withColumn("P1", M.F.lit(2)).withColumn("place", M.F.lit(3)).withColumn("n", M.F.lit(4))
+    want = {1: 1, 2 + first: 1, 4: 4, 5: 4}
+    for _ in range(2):
+        docs = docs.repartition(3)
+        assert {x.doc_id: x.group_id for x in M.near_duplicates(docs).collect()} == want
+        kept = M.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        assert sorted((x.doc_id, x.text, x.loser) for x in kept.collect()) == sorted([(1, [a, b][first], "xy"[first]), (3 - first, [a, b][1 - first], "x"), (4, c, "x")])
+
+
 def test_minima_estimate_similarity():
     a, b = prose(400, 1), None
     b = " ".join(a.split()[:300] + prose(100, 2).split())
