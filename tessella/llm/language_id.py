@@ -10,8 +10,9 @@ could be, the distance lies in 0 to 1; the nearest language wins, ties by name.
 Profiles are fitted on labelled rows, at most `ROWS_PER_LANGUAGE` of each language
 (those of the smallest hashed ids); identification reads every text whole.
 
-A text farther than `MAX_DISTANCE` from every language is rejected, a short one from
-`FEW_MAX_DISTANCE` on.
+A text is rejected where it is farther from every language than `MAX_DISTANCE` plus
+`MARGIN` divided by the square root of the number of its n-grams: its distance is a mean
+over these, so it strays the more the fewer they are.
 
 Cases: a null or empty text, and one without letters, has no language (null), the
 distance 1 and is rejected; ties of frequency go to the n-gram of smaller code; with
@@ -35,13 +36,12 @@ from .text import CHUNK_BYTES, slices, strings
 TOP = 300
 #: Labelled rows of each language that its profile is fitted on, at most.
 ROWS_PER_LANGUAGE = 400
-#: Rows drawn for each of them before the smallest hashes are taken, and languages that get a profile, the most frequent ones.
-OVERSAMPLE, LANGUAGES = 4, 1000
-#: A text is rejected where even the nearest language is farther than this: held-out rows of sf0.1 lie at 0.61 at most (99.9 %:
-#: 0.55), Italian prose without a profile at 0.73, random letters at 0.79.
-MAX_DISTANCE = 0.65
-#: One of fewer n-grams than this lies farther from its own language too (30 letters: up to 0.63), so its bound is looser.
-FEW_GRAMS, FEW_MAX_DISTANCE = 60, 0.75
+#: Rows drawn for each of them before the smallest hashes are taken.
+OVERSAMPLE = 4
+#: Languages up to which their sampling bounds are broadcast; more of them are joined by a shuffle, with the same result.
+FEW_LANGUAGES = 100_000
+#: Distance at which a text of many n-grams is rejected, and what is added for one n-gram, falling with the square root of their number.
+MAX_DISTANCE, MARGIN = 0.62, 0.5
 
 _BITS = 21  # of a code point
 _letters: list[np.ndarray] = []
@@ -192,9 +192,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     What comes back is as many numbers as `top` for each language, whatever the table's size."""
     slim = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     share = F.least(F.lit(1.0), F.lit(float(OVERSAMPLE * rows_per_language)) / F.col("n"))
-    # one row for each of at most LANGUAGES languages
-    below = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
-    sample = slim.join(F.broadcast(below), "lang").where("h <= below").select("lang", "h", "i", "text")
+    below = slim.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
+    # a row for each language: broadcast where these are as few as they should be, so that only sampled texts move
+    few = below.count() <= FEW_LANGUAGES
+    sample = slim.join(F.broadcast(below) if few else below, "lang").where("h <= below").select("lang", "h", "i", "text")
 
     def one(key, table):
         table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("text", "ascending")]).slice(0, rows_per_language)
@@ -213,7 +214,7 @@ def _judge(part: pa.RecordBatch, at: int, names: list[str], profiles: list[np.nd
     best = dist.argmin(axis=1)
     near = dist[np.arange(len(texts)), best]
     known = (size > 0) & bool(profiles)
-    keep = known & (near <= np.where(size < FEW_GRAMS, max(max_distance, FEW_MAX_DISTANCE), max_distance))
+    keep = known & (near <= max_distance + MARGIN / np.sqrt(np.maximum(size, 1)))
     lang = [names[b] if k else None for b, k in zip(best.tolist(), known.tolist())]
     return lang, near, keep
 
