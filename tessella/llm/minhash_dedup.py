@@ -10,8 +10,8 @@
 4. Verified pairs make connected components (alternating large-star and small-star steps).
 5. Where a bucket still holds several components: if it has at most `EXACT` rows, all pairs
    across them go through step 3. A larger one is divided by a further band (each of the
-   later ones in turn), its parts get pivots of their own as in step 2, and go through
-   step 5 again. So the pairs compared stay in proportion to rows however many documents
+   later ones in turn), its parts get pivots of their own as in step 2, and those that
+   hold several components go through step 5 again. So the pairs compared stay in proportion to rows however many documents
    share a bucket with documents unlike them, as those that share boilerplate do.
    No bucket, group or partner list is capped.
 
@@ -52,7 +52,7 @@ THRESHOLD = 0.6
 #: Chance at which a true pair may be dropped at each look, and hashes between looks.
 MISS, STEP = 0.005, 16
 #: Rows up to which all pairs across the components of a bucket are compared, and bits of a Bloom filter at most.
-EXACT, FILTER_BITS = 64, 26
+EXACT, FILTER_BITS = 256, 26
 
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -209,11 +209,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_key = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sig, {k * width + 1}, {width})"))
     bucket = Window.partitionBy("band")
 
-    def shared(rows: DataFrame) -> DataFrame:
-        """The rows of buckets of two or more."""
-        rows = rows.select("*", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("most"))
-        return cut(rows.where("pivot < most").drop("most"))
-
     def verified(pairs: DataFrame) -> DataFrame:
         if compared is not None:
             compared.append(pairs.count())
@@ -228,32 +223,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = (held.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "x"), ("v", "y")))
         return cut(pruned.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u bigint, v bigint"))
 
-    rows = shared(bands.select("id", F.explode(F.array(*[F.struct(band_key(k).alias("band"), F.lit(k).alias("last")) for k in range(BANDS)])).alias("b")).select("b.band", "b.last", "id"))
+    rows = bands.select("id", F.explode(F.array(*[F.struct(band_key(k).alias("band"), F.lit(k).alias("last")) for k in range(BANDS)])).alias("b")).select("b.band", "b.last", "id")
+    rows = cut(rows.select("*", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("most")).where("pivot < most").drop("most"))
     stars = rows.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     found = verified(stars)
+    linked = components(found)
+    rows, pairs = rows.join(linked, "id", "left").select("band", "last", "id", F.coalesce("root", "id").alias("root")), []
+    # each later band divides a bucket anew
+    later = F.filter(F.array(*[F.when(F.col("last") < k, F.struct(F.xxhash64("band", band_key(k)).alias("band"), F.lit(k).alias("last"))) for k in range(1, BANDS)]), lambda b: b.isNotNull())
     while True:
-        linked = components(found)
-        of = rows.join(linked, "id", "left").select("band", "last", "id", F.coalesce("root", "id").alias("root"))
-        mixed = of.select("*", (F.min("root").over(bucket) < F.max("root").over(bucket)).alias("mixed"), F.count("*").over(bucket).alias("n")).where("mixed").drop("mixed")
-        mixed = cut(mixed)
-        few = mixed.where(F.col("n") <= exact)
+        of = rows.select("*", F.min(F.struct("id", "root")).over(bucket).alias("pivot"), F.count("*").over(bucket).alias("n"), F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high"))
+        mixed = cut(of.where("low < high").drop("low", "high"))
+        few, many = mixed.where(F.col("n") <= exact), mixed.where(F.col("n") > exact)
         left, right = few.select("band", F.col("id").alias("u"), F.col("root").alias("ru")), few.select("band", F.col("id").alias("v"), F.col("root").alias("rv"))
-        across = left.join(right, "band").where("u < v and ru <> rv").select("u", "v").distinct()
-        many = mixed.where(F.col("n") > exact)
-        again = not many.isEmpty()
-        if again:
-            # each later band divides the bucket anew
-            later = [F.when(F.col("last") < k, F.struct(F.xxhash64("band", band_key(k)).alias("band"), F.lit(k).alias("last"))) for k in range(1, BANDS)]
-            rows = shared(many.select("band", "last", "id").join(signed.select("id", "sig"), "id").select("id", F.explode(F.filter(F.array(*later), lambda b: b.isNotNull())).alias("b")).select("b.band", "b.last", "id"))
-            pairs = rows.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-            roots = linked.select(F.col("id").alias("v"), F.col("root").alias("rv")), linked.select(F.col("id").alias("u"), F.col("root").alias("ru"))
-            pairs = pairs.join(roots[0], "v", "left").join(roots[1], "u", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
-            across = across.unionByName(pairs).distinct()
-        across = cut(across.join(stars, ["u", "v"], "left_anti"))
-        if not across.isEmpty():
-            found = found.unionByName(verified(across))
-        if not again:
+        pairs.append(left.join(right, "band").where("u < v and ru <> rv").select("u", "v").unionByName(many.where("root <> pivot.root").select(F.col("pivot.id").alias("u"), F.col("id").alias("v"))).distinct())
+        if many.isEmpty():
             break
+        rows = many.select("last", "band", "id", "root").join(signed.select("id", "sig"), "id").select("id", "root", F.explode(later).alias("b")).select("b.band", "b.last", "id", "root")
+    across = pairs[0]
+    for more in pairs[1:]:
+        across = across.unionByName(more)
+    across = cut(across.distinct().join(stars, ["u", "v"], "left_anti"))
+    if not across.isEmpty():
+        found = found.unionByName(verified(across))
     copied = same.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     whole = components(found.unionByName(copied))
     return whole.select(F.col("id").cast(kind).alias(id_col), F.col("root").cast(kind).alias("group_id"))
