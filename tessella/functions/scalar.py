@@ -77,4 +77,5 @@ def same_bits(a: Column, b: Column) -> Column:
 
 
 def bc4_size(width: Column, height: Column) -> Column:
-    return F.ceil(width / 4) * F.ceil(height / 4) * 8
+    """Bytes of an atlas: whole blocks across, begun ones down."""
+    return F.floor(width / 4) * F.ceil(height / 4) * 8

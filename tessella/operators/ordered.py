@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.scalar import align_up, utf16_bytes
 
 #: Parts that a prefix sum over a whole table is made in.
-PARTS = 256
+PARTS = 64
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], sets: Column, value: Column, name: str) -> DataFrame:
@@ -36,19 +36,25 @@ def named_lines(lines: DataFrame, params: DataFrame) -> DataFrame:
 def prefix_sum(df: DataFrame, order: str, size: Column, name: str, parts: int = PARTS) -> DataFrame:
     """Adds the sum of `size` over all rows of a smaller `order`, a unique number, without gathering rows in one task.
 
-    Rows are cut into ranges of `order`; each range is summed on its own, and a table with one row a range adds what lies before."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // parts))
-    part = F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int")
-    rows = df.withColumn("__part", part).withColumn("__size", size.cast("bigint"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("__part").agg(F.sum("__size").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("__own", F.coalesce(F.sum("__size").over(own), F.lit(0)))
+    Rows are cut into ranges of `order` that hold about as many rows each; each range is summed on its own, and a table with
+    one row a range adds what lies before."""
+    part, own_size, total, base, own_sum = (_fresh(df, c) for c in ("part", "size", "total", "base", "own"))
+    cuts = sorted({c for c in df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)})
+    rows = df.withColumn(part, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)).withColumn(own_size, size.cast("bigint"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(part).agg(F.sum(own_size).alias(total)).select(part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
+    own = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn(own_sum, F.coalesce(F.sum(own_size).over(own), F.lit(0)))
     # one row for each of at most `parts` ranges
-    return within.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__part", "__size", "__own", "__base")
+    return within.join(F.broadcast(sums), part).withColumn(name, F.col(base) + F.col(own_sum)).drop(part, own_size, own_sum, base)
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def string_pool(df: DataFrame, text: str, pos: str) -> DataFrame:

@@ -102,6 +102,11 @@ def updated(slots: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.coalesce("__applied", F.lit(False)), F.col("__new")).otherwise(F.col("text"))).select(*slots.columns)
 
 
+def first_nonempty(df: DataFrame, value: str, order: str) -> DataFrame:
+    """One row: the first value, in order, that is neither null nor empty; null without any."""
+    return df.agg(F.min_by(F.when(F.col(value) != "", F.col(value)), F.when(F.col(value) != "", F.col(order))).alias(value))
+
+
 def groups_by_kind(df: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
     """A count for each kind, by key, in one pass."""
     return df.groupBy(key).agg(*(F.count_if(F.col(kind) == k).alias(f"n_{k.lower()}") for k in kinds))

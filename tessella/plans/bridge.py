@@ -128,12 +128,6 @@ def sidecar_names(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", scalar.sidecar_name(F.col("url")).alias("sidecar"))
 
 
-@_query("select doc_id, cast(strlen(text) as bigint) first_diff from documents")
-def first_difference(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.encode("text", "UTF-8")
-    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", ordered.first_difference(raw, F.encode(F.concat("text", F.lit("x")), "UTF-8")).alias("first_diff"))
-
-
 # --- the patch engine
 
 #: Every third document has drifted, every fifth is a key that isn't there, every seventh has its target already.
@@ -202,10 +196,13 @@ def drift_by_archive(spark: SparkSession, d: str) -> DataFrame:
     return patching.drift_by_archive(patching.decide(patching.resolve(*_sharded(spark, d))[0]))
 
 
-@_query(_PATCH_SQL + " select cast(2 * count(cur) as bigint) applied, cast(2 * count(*) filter (cur = tgt) as bigint) already from j")
+@_query(_PATCH_SQL + " select cast(count(cur) + count(*) filter (cur = src) as bigint) applied, cast(count(*) filter (cur = tgt) + count(*) filter (cur = src and cur = tgt) as bigint) already, cast(count(*) filter (cur <> src) as bigint) skipped, cast(2 * count(*) filter (cur is null) as bigint) missing from j")
 def report_union(spark: SparkSession, d: str) -> DataFrame:
-    one = drift_report(spark, d).select("applied", "already")
-    return patching.merge_reports(one.unionByName(one))
+    """The reports of two runs, by different policies."""
+    entries, slots = _patch(spark, d)
+    hit, missing = patching.resolve(entries, slots)
+    one, two = (patching.report(patching.decide(hit, policy), missing, entries).select("applied", "already", "skipped", "missing") for policy in ("warn", "skip"))
+    return patching.merge_reports(one.unionByName(two))
 
 
 @_query("select md5(text) text_md5, count(*) n from documents group by text having count(*) > 1")
@@ -271,14 +268,14 @@ def dat_roundtrip_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return _dat(rows, "l_orderkey", 16)
 
 
-@_query("select doc_id, substr(text, 1, 1024) head from documents")
+@_query("select doc_id, text from documents")
 def lzss_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["head"] = [lzss.decompress(lzss.compress(raw := s.encode()), len(raw)).decode() for s in b["head"]]
+            b["text"] = [lzss.decompress(lzss.compress(raw := s.encode()), len(raw)).decode() for s in b["text"]]
             yield b
 
-    return spread(_t(spark, d, "documents").select("doc_id", F.substring("text", 1, 1024).alias("head"))).mapInPandas(run, "doc_id bigint, head string")
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).mapInPandas(run, "doc_id bigint, text string")
 
 
 @_query("select page_id, url, html from pages")
@@ -345,30 +342,3 @@ def srd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         return pa.table({"vec_id": [int(r["data"]) for r in leaves], "depth_mark": [mark[r["parent_id"]] for r in leaves]})
 
     return _through(_t(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("depth_mark")), 4, "vec_id", both)
-
-
-@_query()
-def bc4_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors' bytes taken for textures of 16 x 16 pixels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pixels = [font.decode_bc4(pa.array(v, pa.float32()).buffers()[1].to_pybytes()[:128].ljust(128, b"\0"), 16, 16) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pixels, pa.binary())], names=["vec_id", "alpha"])
-
-    return _t(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, alpha binary")
-
-
-@_query("""select doc_id, '{"id":' || doc_id || ',"text":' || to_json(text) || '}' entry from documents""")
-def exchange_json(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("entry"))
-
-
-@_query("select lang, min_by(doc_id, doc_id) filter (lang <> '') first_doc, count(*) n from documents group by lang")
-def first_nonempty(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").groupBy("lang").agg(F.expr("min_by(doc_id, doc_id) filter (where lang <> '')").alias("first_doc"), F.count("*").alias("n"))
-
-
-@_query("""select doc_id, case when starts_with(text, 'T') then 'T' else left(text, 1) end mark, length(text) = n_chars consistent from documents""")
-def format_sniff(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 1).alias("mark"), (F.char_length("text") == F.col("n_chars")).alias("consistent"))

@@ -301,7 +301,15 @@ class _StagedWriter(DataSourceWriter):
             row = dict(zip(self.names, r))
             by.setdefault(row["archive"], []).append(row)
         for name, rows in sorted(by.items()):
-            yield name, utf.write_cpk(new_archive([utf.File(r.get("dir_name") or "", r["file_name"], r.get("id") or 0, r.get("user_string") or "", untagged(r.get("extra")), bytes(r["data"] or b"")) for r in sorted(rows, key=lambda r: r["ord"])], self.align))
+            rows.sort(key=lambda r: r["ord"])
+            kinds: dict[str, str] = {}
+            for r in rows:
+                for k, v in json.loads(r.get("extra") or "{}").items():
+                    if kinds.setdefault(k, v["type"]) != v["type"]:
+                        raise ValueError(f"MIXED_KINDS: {k} is {kinds[k]} and {v['type']} in {name}")
+            extra = [utf.Column(k, "per_row", kind) for k, kind in kinds.items()]
+            zeros = {k: utf.zero(kind) for k, kind in kinds.items()}
+            yield name, utf.write_cpk(new_archive([utf.File(r.get("dir_name") or "", r["file_name"], r.get("id") or 0, r.get("user_string") or "", zeros | untagged(r.get("extra")), bytes(r["data"] or b"")) for r in rows], self.align, extra))
 
 
 def new_archive(files: list[utf.File], align: int = 0x800, extra: list[utf.Column] | None = None) -> utf.Cpk:
