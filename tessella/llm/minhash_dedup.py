@@ -276,3 +276,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.mapInArrow(_with_prints(docs.columns.index(text_col), (p1, p2)), T.StructType([*docs.schema, T.StructField(p1, T.LongType()), T.StructField(p2, T.LongType())]))
     order = Window.partitionBy(id_col).orderBy(F.col(p1).asc_nulls_last(), p2, F.col(text_col).asc_nulls_last(), F.to_json(F.struct(*docs.columns)))
     return once.unionByName(rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns))
+
+
+SQL = f"""
+with recursive words as (select doc_id id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') w from documents where doc_id is not null and text is not null),
+shingles as (select distinct id, unnest(case when len(w) < {SHINGLE} then [array_to_string(w, ' ')] else [array_to_string(w[i:i + {SHINGLE - 1}], ' ') for i in range(1, len(w) - {SHINGLE - 2})] end) s from words where len(w) > 0),
+sizes as (select id, count(*) n from shingles group by id),
+shared as (select a.id u, b.id v, count(*) n from shingles a join shingles b on a.s = b.s and a.id <> b.id group by a.id, b.id),
+pairs as materialized (select u, v from shared join sizes a on a.id = u join sizes b on b.id = v where shared.n >= {THRESHOLD} * (a.n + b.n - shared.n)),
+reach(id, other) as (select u, v from pairs union select r.id, p.v from reach r join pairs p on p.u = r.other)
+select id doc_id, least(id, min(other)) group_id from reach group by id"""

@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": tool_calls.SQL, "op4_embedding_near_dedup": embedding_dedup.SQL, "op5_license_scan": license_scan.scan_sql()}
+    return {"op1_minhash_near_dedup": minhash_dedup.SQL, "op2_chat_formatting": tool_calls.SQL, "op4_embedding_near_dedup": embedding_dedup.SQL, "op5_license_scan": license_scan.scan_sql()}
