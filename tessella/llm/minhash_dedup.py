@@ -19,7 +19,7 @@ What is missed: pairs that agree in no band (at similarity 0.6 one in 80, at 0.7
 6,000), those dropped in step 3, and those that share only buckets of more than `EXACT`
 rows, unlike their pivots, and no two bands of a bucket that has fewer.
 
-The text of candidates alone is moved: a Bloom filter of the wanted ids (of at most
+Signatures and texts of candidates alone are moved: a Bloom filter of the wanted ids (of at most
 2^`FILTER_BITS` bits; beyond that it lets more through) goes to the scan.
 
 Result: a row (id, group_id) for each member of a group of two or more, group_id being the
@@ -180,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
-def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose ids are wanted, and few others, found without moving any."""
     bits = 1 << min(FILTER_BITS, max(6, (16 * wanted.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -188,8 +188,8 @@ def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     table = np.zeros(bits // 64, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     # one row of at most 2^FILTER_BITS bits
-    one = texts.sparkSession.createDataFrame(pa.table({"filter": pa.array([table], pa.list_(pa.int64()))}))
-    return texts.join(F.broadcast(one), F.expr(f"getbit(filter[cast(pmod(xxhash64(id), {bits}) div 64 as int)], cast(pmod(xxhash64(id), {bits}) % 64 as int)) = 1"), "left_semi")
+    one = rows.sparkSession.createDataFrame(pa.table({"filter": pa.array([table], pa.list_(pa.int64()))}))
+    return rows.join(F.broadcast(one), F.expr(f"getbit(filter[cast(pmod(xxhash64(id), {bits}) div 64 as int)], cast(pmod(xxhash64(id), {bits}) % 64 as int)) = 1"), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, exact: int = EXACT, compared: list | None = None) -> DataFrame:
@@ -212,11 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         if compared is not None:
             compared.append(pairs.count())
-        sig = signed.select("id", "sig")
+        sig = _sifted(signed.select("id", "sig"), cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
         pruned = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v").select("u", "v", "a", "b")
         pruned = cut(pruned.mapInArrow(_prune, "u bigint, v bigint"))
-        wanted = cut(pruned.select(F.col("u").alias("id")).unionByName(pruned.select(F.col("v").alias("id"))).distinct())
-        held = _sifted(texts, wanted).join(wanted, "id", "left_semi")
+        held = _sifted(texts, cut(pruned.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
         if repeated:
             held = held.mapInArrow(_with_prints(1, ("p1", "p2")), "id bigint, text string, p1 bigint, p2 bigint").join(signed.select("id", "p1", "p2"), ["id", "p1", "p2"], "left_semi").select("id", "text").dropDuplicates(["id"])
         held = cut(held)
@@ -225,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = bands.select("id", F.explode(F.array(*[F.struct(band_key(k).alias("band"), F.lit(k).alias("last")) for k in range(BANDS)])).alias("b")).select("b.band", "b.last", "id")
     rows = cut(rows.select("*", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("most")).where("pivot < most").drop("most"))
-    stars = rows.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    stars = cut(rows.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct())
     found = verified(stars)
     linked = components(found)
     rows, pairs = rows.join(linked, "id", "left").select("band", "last", "id", F.coalesce("root", "id").alias("root")), []
