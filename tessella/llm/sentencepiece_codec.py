@@ -15,7 +15,9 @@ step by step, since pieces of several blanks have equal scores.
 
 Cases: a null text gives null ids, an empty one none; U+2581 counts as a blank, as the
 library has it; null ids pass through; repeated rows are encoded each on their own; whole
-texts are encoded, however long; further columns are ignored.
+texts are encoded, however long; ties of score go to the leftmost pair; an empty table
+gives no rows; further columns are ignored. A model that normalises, or whose pieces hold
+blanks elsewhere, is refused.
 """
 
 from __future__ import annotations
@@ -70,6 +72,17 @@ class Codec:
                 self.split[i] = made[1]
         self.fits: dict[int, bool] = {}
         self.cache: dict[int, tuple[int, ...]] = {}
+        self._check(sp)
+
+    def _check(self, sp) -> None:
+        """Refuses a model that splits, normalises or marks beginnings otherwise than is assumed here."""
+        if any(BLANK in p.lstrip(BLANK) for p in self.id_of):
+            raise ValueError("a piece holds a blank after another character")
+        probe = ["", "a", " a", "a ", "  a  b ", "A\uff21 \ufb01 e\u0301 \u00e9", "\tx\n y", "\u65e5\u672c\u8a9e", "\U0001f600", "the end of it"]
+        ids, at = self.encode(pa.array(probe, pa.large_string()))
+        for k, text in enumerate(probe):
+            if [int(i) for i in ids[at[k] : at[k + 1]]] != list(sp.encode(text)):
+                raise ValueError(f"the model encodes {text!r} otherwise than by merging it as it stands")
 
     def _merge(self, text: str) -> tuple[list[int], tuple[int, int] | None]:
         """Ids by merging step by step, the best score first and the leftmost of equal ones; and the last pair that merged."""

@@ -45,3 +45,17 @@ def test_hard_cases(spark, hard_docs, no_docs, library):
     trip = S.round_trip(hard_docs, FILE).collect()
     assert all(x.exact is (None if x.doc_id == 3 else True) for x in trip if x.doc_id is not None)
     assert S.encode(no_docs, FILE).count() == 0 and S.round_trip(no_docs, FILE).count() == 0
+
+
+def test_models_that_split_otherwise_are_refused(library):
+    c = S.Codec(FILE)
+
+    class Other:
+        def encode(self, text):
+            return library.encode(text.strip())
+
+    with pytest.raises(ValueError):
+        c._check(Other())
+    c.id_of["a" + S.BLANK] = 5
+    with pytest.raises(ValueError):
+        c._check(library)
