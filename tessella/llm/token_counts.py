@@ -9,6 +9,10 @@ what lies between, and updates the sums on the way up. The rest is never looked
 Where a pre-token ends depends on its own text and on at most `CONTEXT` characters after
 it, and on nothing before its start: that is the boundary context.
 
+Trees last: `leaf_table` gives a table's leaves, and `edit_leaves` takes them, a batch of
+edits at a time, and gives them again; it reads edited documents only and counts nothing
+that an edit didn't touch.
+
 Counting a whole table reads pre-token borders off character classes, a slice at a time,
 and encodes each distinct pre-token of a slice once.
 
@@ -263,10 +267,62 @@ def count_edited(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     return spread(slim).mapInArrow(run, schema)
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
-    """The documents, with the edits of a table (id, seq, at, gone, new) that are theirs as an array."""
-    own = edits.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("seq", "at", "gone", "new")).alias(edits_col))
-    return docs.join(own, docs[id_col] == F.col("__id"), "left").drop("__id")
+    """The documents, with the edits of a table (id, seq, at, gone, new) that are theirs as an array, in place of a column of that name."""
+    docs = docs.drop(edits_col)
+    key = _fresh(docs, "edited_id")
+    own = edits.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("seq", "at", "gone", "new")).alias(edits_col))
+    return docs.join(own, docs[id_col] == F.col(key), "left").drop(key)
+
+
+_LEAVES = [T.StructField("text", T.StringType()), T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+
+
+def leaf_table(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, chars, tokens): the leaves of every row's tree, characters and tokens of its pre-tokens in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(rank_file)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                chars, tokens, at = c.leaves(strings(part.column(1)).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (chars, tokens)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=[id_col, "text", "chars", "tokens"])
+
+    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return spread(slim).mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_LEAVES]))
+
+
+def edit_leaves(leaves: DataFrame, edits: DataFrame, rank_file: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, text, chars, tokens, n_tokens, n_reencoded) of the edited rows of a `leaf_table`, after the edits (id, seq, at, gone, new).
+
+    Rows without edits aren't in the result: theirs stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(rank_file)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for r in part.to_pylist():
+                    tree, redone = Tree(r["text"] or "", r["chars"] or [], r["tokens"] or [], c.one), 0
+                    for e in sorted((e for e in r["edits"] if None not in e.values()), key=lambda e: e["seq"]):
+                        redone += tree.edit(e["at"], e["gone"], e["new"])
+                    rows.append((tree.text if redone or tree.text or r["text"] is not None else None, [x for b in tree.chars for x in b], [x for b in tree.tokens for x in b], tree.total, redone))
+                cols = list(zip(*rows))
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=[id_col, "text", "chars", "tokens", "n_tokens", "n_reencoded"])
+
+    edited = with_edits(leaves.select(id_col, "text", "chars", "tokens"), edits, id_col).where("edits is not null").withColumn("edits", F.col("edits").cast(EDITS))
+    schema = T.StructType([T.StructField(id_col, leaves.schema[id_col].dataType), *_LEAVES, T.StructField("n_tokens", T.LongType()), T.StructField("n_reencoded", T.LongType())])
+    return edited.mapInArrow(run, schema)
 
 
 def sample_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,3 +72,20 @@ def test_hard_cases(spark, hard_docs, no_docs, library):
     assert C.count_edited(C.with_edits(no_docs, edits), FILE).count() == 0
     sampled = C.count_edited(C.sample_edits(hard_docs), FILE).collect()
     assert len(sampled) == len(got) and all(x.n_edits == 3 for x in sampled if x.doc_id is not None)
+
+
+def test_trees_that_last(spark, hard_docs):
+    kind = "doc_id bigint, seq bigint, at bigint, gone bigint, new string"
+    leaves = C.leaf_table(hard_docs.where("doc_id <> 8"), FILE)
+    assert {r.doc_id: r.n for r in leaves.selectExpr("doc_id", "aggregate(tokens, 0, (a, x) -> a + x) n").collect() if r.doc_id} == {r.doc_id: r.n_tokens for r in C.count_edited(hard_docs.where("doc_id <> 8").withColumn("edits", C.F.lit(None)), FILE).collect() if r.doc_id}
+    batches = [[(6, 1, 100, 5, " it's"), (6, 2, 90_000, 0, "\n\n12"), (3, 1, 0, 0, "new text"), (99, 1, 0, 0, "x")], [(6, 1, 5, 2, ""), (3, 1, 3, 1, "  "), (None, 1, 0, 0, "x"), (1, 1, None, 0, "x")]]
+    for batch in batches:
+        after = C.edit_leaves(leaves, spark.createDataFrame(batch, kind), FILE)
+        rows = {r.doc_id: r for r in after.collect()}
+        assert set(rows) == {i for i, *_ in batch if i not in (None, 99)}
+        fresh = {r.doc_id: r for r in C.leaf_table(after.select("doc_id", "text"), FILE).collect()}
+        assert all(rows[i].chars == fresh[i].chars and rows[i].tokens == fresh[i].tokens and rows[i].n_tokens == sum(fresh[i].tokens) for i in rows)
+        assert rows[6].n_reencoded < 20
+        # the next batch starts from what this one left
+        kept = leaves.join(after.select("doc_id"), "doc_id", "left_anti").unionByName(after.select("doc_id", "text", "chars", "tokens"))
+        leaves = spark.createDataFrame(kept.collect(), leaves.schema)
