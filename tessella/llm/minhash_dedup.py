@@ -52,7 +52,7 @@ THRESHOLD = 0.6
 #: Chance at which a true pair may be dropped at each look, and hashes between looks.
 MISS, STEP = 0.005, 16
 #: Rows up to which all pairs across the components of a bucket are compared, and bits of a Bloom filter at most.
-EXACT, FILTER_BITS = 256, 26
+EXACT, FILTER_BITS = 64, 26
 
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -128,6 +128,8 @@ def _prune(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.stack([np.frombuffer(s, np.uint32) for s in batch.column(i).to_pylist()]) for i in (2, 3))
         alive, seen, at = np.arange(len(batch)), np.zeros(len(batch), np.int64), 0
         for n, need in looks:
+            if n > a.shape[1]:
+                break
             seen[alive] += (a[alive, at:n] == b[alive, at:n]).sum(axis=1)
             alive, at = alive[seen[alive] >= need], n
         yield batch.select([0, 1]).take(pa.array(alive))
@@ -209,13 +211,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_key = lambda k: F.xxhash64(F.lit(k), F.expr(f"substring(sig, {k * width + 1}, {width})"))
     bucket = Window.partitionBy("band")
 
+    def ids(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+
+    def looked(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+        a, b = sig.select(F.col("id").alias("u"), F.col("sig").alias("a")), sig.select(F.col("id").alias("v"), F.col("sig").alias("b"))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_prune, "u bigint, v bigint")
+
     def verified(pairs: DataFrame) -> DataFrame:
         if compared is not None:
             compared.append(pairs.count())
-        sig = _sifted(signed.select("id", "sig"), cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
-        pruned = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v").select("u", "v", "a", "b")
-        pruned = cut(pruned.mapInArrow(_prune, "u bigint, v bigint"))
-        held = _sifted(texts, cut(pruned.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+        # the first look takes one batch of hashes, and drops most; the rest of a signature moves for what is left
+        first = signed.select("id", F.expr(f"substring(sig, 1, {STEP * 4})").alias("sig"))
+        likely = cut(looked(pairs, first))
+        pruned = cut(looked(likely, _sifted(signed.select("id", "sig"), ids(likely))))
+        held = _sifted(texts, ids(pruned))
         if repeated:
             held = held.mapInArrow(_with_prints(1, ("p1", "p2")), "id bigint, text string, p1 bigint, p2 bigint").join(signed.select("id", "p1", "p2"), ["id", "p1", "p2"], "left_semi").select("id", "text").dropDuplicates(["id"])
         held = cut(held)
