@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.partitioning import spread
-from .lineage import shared_folder, shared_table
+from .lineage import cut, shared_folder, shared_table
 from .text import Words, slices, strings
 
 #: Words in a window, and bytes of text in a shard of the index.
@@ -201,7 +201,7 @@ def _frequencies(index: DataFrame, shards: int) -> DataFrame:
     ranges = max(16, shards // 4)
     edges = (np.arange(1, ranges, dtype=np.float64) * 2.0**64 / ranges).astype(np.uint64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 word, size = _blob(row, "words", "size")
@@ -221,7 +221,7 @@ def _frequencies(index: DataFrame, shards: int) -> DataFrame:
         table = table.sort_by("range")
         return pa.table([table.column("shard").slice(0, 1), *(pa.array([b"".join(table.column(c).to_pylist())], pa.binary()) for c in ("shared", "df"))], names=["shard", "shared", "df"])
 
-    counted = index.select("shard", "words", "size").mapInArrow(cut, "range int, shard bigint, words binary, size binary").groupBy("range").applyInArrow(add, "range int, shard bigint, shared binary, df binary")
+    counted = index.select("shard", "words", "size").mapInArrow(divide, "range int, shard bigint, words binary, size binary").groupBy("range").applyInArrow(add, "range int, shard bigint, shared binary, df binary")
     return shared_table(counted.groupBy("shard").applyInArrow(join, "shard bigint, shared binary, df binary"), "packing-frequencies")
 
 
@@ -308,6 +308,8 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
 
     cores = index.sparkSession.sparkContext.defaultParallelism
     own = index.select("shard", "key", *_COLUMNS).coalesce(max(1, cores)).mapInArrow(run, "seed int, doc bigint, score float, key bigint")
+    with _one_a_batch(index.sparkSession):
+        own = cut(own)  # what follows has many small rows, which go to Python in large batches
     got = own.groupBy(F.pmod("seed", F.lit(max(1, cores)))).applyInArrow(merge, "seed int, doc bigint, score float").toArrow()
     seed, doc, score = (got.column(k).to_numpy() for k in range(3))
     best = _best(seed, doc, score, key[doc], near)
@@ -385,8 +387,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not len(some):
                     continue
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
-                with _one_a_batch(spark):
-                    query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
+                query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):
                     i, j = edge[q], edge[q + 1]
