@@ -9,15 +9,16 @@
    the threshold falls below `MISS`. Survivors are verified exactly on their shingle sets.
 4. Verified pairs make connected components (alternating large-star and small-star steps).
 5. Where a bucket still holds several components: if it has at most `EXACT` rows, all pairs
-   across them go through step 3. A larger one is divided by a further band (each of the
-   later ones in turn), its parts get pivots of their own as in step 2, and those that
-   hold several components go through step 5 again. So the pairs compared stay in proportion to rows however many documents
-   share a bucket with documents unlike them, as those that share boilerplate do.
+   across them go through step 3. The documents of larger ones are joined exactly: two sets of
+   shingles of similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any
+   order that is the same for all. The order puts the frequent ones last (by a count of about
+   2^`SLOTS` classes of hashes), so that boilerplate brings few documents together. Pairs that
+   such a shingle shows are left out only where what follows it is too short to reach t,
+   and verified on their shingle sets without step 3.
    No bucket, group or partner list is capped.
 
 What is missed: pairs that agree in no band (at similarity 0.6 one in 80, at 0.7 one in
-6,000), those dropped in step 3, and those that share only buckets of more than `EXACT`
-rows, unlike their pivots, and no two bands of a bucket that has fewer.
+6,000) unless both are in buckets of more than `EXACT` rows, and those dropped in step 3.
 
 Signatures and texts of candidates alone are moved: a Bloom filter of the wanted ids (of at most
 2^`FILTER_BITS` bits; beyond that it lets more through) goes to the scan.
@@ -53,6 +54,8 @@ THRESHOLD = 0.6
 MISS, STEP = 0.005, 16
 #: Rows up to which all pairs across the components of a bucket are compared, and bits of a Bloom filter at most.
 EXACT, FILTER_BITS = 64, 26
+#: Bits of a shingle's hash by which its frequency is counted, and of these the ones that are added up together.
+SLOTS, TOGETHER = 20, 14
 
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -164,6 +167,56 @@ def _verify(threshold: float):
     return run
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _crowds(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the texts are in each of 2^SLOTS classes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                at, many = np.unique(_slot(Words(strings(part.column(1))).shingles(SHINGLE)[0]), return_counts=True)
+                n[at] += many
+        if n.any():
+            rows = [x.tobytes() for x in n.reshape(-1, 1 << TOGETHER)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["part", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()], axis=0)
+        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "n"])
+
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    out = np.zeros((1 << SLOTS - TOGETHER, 1 << TOGETHER), np.int64)
+    for row in texts.coalesce(max(1, cores)).mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").toArrow().to_pylist():
+        out[row["part"]] = np.frombuffer(row["n"], np.int64)
+    return out.reshape(-1)
+
+
+def _prefixes(crowd: np.ndarray, threshold: float):
+    """Of each text its id, how many shingles it has, and the first of them, the frequent ones last: texts of this similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s, t = Words(strings(part.column(1))).shingles(SHINGLE)
+                order = np.lexsort((s, crowd[_slot(s)], t))
+                s, t = s[order], t[order]
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+                s, t = s[new], t[new]
+                n = np.bincount(t, minlength=len(part))
+                place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+                first = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
+                keep = place < first[t]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(t[keep], minlength=len(part)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(s[keep].view(np.int64)))], names=["id", "n", "first"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in `edges` (u, v): root is the smallest id that is connected to it.
 
@@ -218,6 +271,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = sig.select(F.col("id").alias("u"), F.col("sig").alias("a")), sig.select(F.col("id").alias("v"), F.col("sig").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_prune, "u bigint, v bigint")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(id, text) of the wanted ids, and few others; one row an id."""
+        held = _sifted(texts, wanted)
+        if repeated:
+            held = held.mapInArrow(_with_prints(1, ("p1", "p2")), "id bigint, text string, p1 bigint, p2 bigint").join(signed.select("id", "p1", "p2"), ["id", "p1", "p2"], "left_semi").select("id", "text").dropDuplicates(["id"])
+        return held
+
+    def exactly(pairs: DataFrame) -> DataFrame:
+        held = cut(texts_of(ids(pairs)))
+        x, y = (held.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "x"), ("v", "y")))
+        return cut(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u bigint, v bigint"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         if compared is not None:
             compared.append(pairs.count())
@@ -225,36 +290,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = signed.select("id", F.expr(f"substring(sig, 1, {STEP * 4})").alias("sig"))
         likely = cut(looked(pairs, first))
         pruned = cut(looked(likely, _sifted(signed.select("id", "sig"), ids(likely))))
-        held = _sifted(texts, ids(pruned))
-        if repeated:
-            held = held.mapInArrow(_with_prints(1, ("p1", "p2")), "id bigint, text string, p1 bigint, p2 bigint").join(signed.select("id", "p1", "p2"), ["id", "p1", "p2"], "left_semi").select("id", "text").dropDuplicates(["id"])
-        held = cut(held)
-        x, y = (held.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "x"), ("v", "y")))
-        return cut(pruned.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify(threshold), "u bigint, v bigint"))
+        return exactly(pruned)
+
+    def joined(members: DataFrame) -> DataFrame:
+        """The pairs (u, v) of members (id, root) of different roots whose similarity reaches the threshold, all of them."""
+        held = texts_of(members.select("id"))
+        first = held.mapInArrow(_prefixes(_crowds(held), threshold), "id bigint, n int, first array<bigint>").join(members, "id").select("id", "root", "n", F.posexplode("first").alias("place", "s"))
+        of = Window.partitionBy("s")
+        shared = cut(first.select("*", F.min("root").over(of).alias("low"), F.max("root").over(of).alias("high")).where("low < high").drop("low", "high"))
+        a, b = (shared.select("s", *(F.col(c).alias(c + side) for c in ("id", "root", "n", "place"))) for side in "ab")
+        # what follows the first shingle that both have bounds what they share
+        enough = F.expr(f"ida < idb and roota <> rootb and least(na - placea, nb - placeb) >= {threshold / (1 + threshold)!r}D * (na + nb) - 1e-6D")
+        pairs = cut(a.join(b, "s").where(enough).select(F.col("ida").alias("u"), F.col("idb").alias("v")).distinct())
+        if compared is not None:
+            compared.append(pairs.count())
+        return exactly(pairs)
 
-    rows = bands.select("id", F.explode(F.array(*[F.struct(band_key(k).alias("band"), F.lit(k).alias("last")) for k in range(BANDS)])).alias("b")).select("b.band", "b.last", "id")
+    rows = bands.select("id", F.explode(F.array(*[band_key(k) for k in range(BANDS)])).alias("band")).select("band", "id")
     rows = cut(rows.select("*", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("most")).where("pivot < most").drop("most"))
     stars = cut(rows.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct())
     found = verified(stars)
     linked = components(found)
-    rows, pairs = rows.join(linked, "id", "left").select("band", "last", "id", F.coalesce("root", "id").alias("root")), []
-    # each later band divides a bucket anew
-    later = F.filter(F.array(*[F.when(F.col("last") < k, F.struct(F.xxhash64("band", band_key(k)).alias("band"), F.lit(k).alias("last"))) for k in range(1, BANDS)]), lambda b: b.isNotNull())
-    while True:
-        of = rows.select("*", F.min(F.struct("id", "root")).over(bucket).alias("pivot"), F.count("*").over(bucket).alias("n"), F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high"))
-        mixed = cut(of.where("low < high").drop("low", "high"))
-        few, many = mixed.where(F.col("n") <= exact), mixed.where(F.col("n") > exact)
-        left, right = few.select("band", F.col("id").alias("u"), F.col("root").alias("ru")), few.select("band", F.col("id").alias("v"), F.col("root").alias("rv"))
-        pairs.append(left.join(right, "band").where("u < v and ru <> rv").select("u", "v").unionByName(many.where("root <> pivot.root").select(F.col("pivot.id").alias("u"), F.col("id").alias("v"))).distinct())
-        if many.isEmpty():
-            break
-        rows = many.select("last", "band", "id", "root").join(signed.select("id", "sig"), "id").select("id", "root", F.explode(later).alias("b")).select("b.band", "b.last", "id", "root")
-    across = pairs[0]
-    for more in pairs[1:]:
-        across = across.unionByName(more)
-    across = cut(across.distinct().join(stars, ["u", "v"], "left_anti"))
+    of = rows.join(linked, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    of = of.select("*", F.count("*").over(bucket).alias("n"), F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high"))
+    mixed = cut(of.where("low < high").drop("low", "high"))
+    few, many = mixed.where(F.col("n") <= exact), cut(mixed.where(F.col("n") > exact).select("id", "root").distinct())
+    left, right = few.select("band", F.col("id").alias("u"), F.col("root").alias("ru")), few.select("band", F.col("id").alias("v"), F.col("root").alias("rv"))
+    across = cut(left.join(right, "band").where("u < v and ru <> rv").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"))
     if not across.isEmpty():
         found = found.unionByName(verified(across))
+    if not many.isEmpty():
+        found = found.unionByName(joined(many))
     copied = same.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     whole = components(found.unionByName(copied))
     return whole.select(F.col("id").cast(kind).alias(id_col), F.col("root").cast(kind).alias("group_id"))

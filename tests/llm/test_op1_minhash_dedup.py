@@ -92,6 +92,25 @@ def test_pairs_grow_with_rows_where_many_share_boilerplate(spark):
     assert sizes[1] < 6 * sizes[0]  # 16 times as many pairs in all
 
 
+def test_large_buckets_lose_no_link(spark):
+    # pairs just above the threshold that agree in one band, in a bucket of many documents which are unlike them
+    r = random.Random(12)
+    base = boilerplate(2000, r)[:2000]
+    sides = [base, [edited(t, 0.085, r) for t in base]]
+    a, b = (pa.array(x, pa.large_string()) for x in sides)
+    bands = []
+    for x in (a, b):
+        s, t = Words(x).shingles(M.SHINGLE)
+        bands.append(M.signatures(s, segment_starts(t, len(x))).reshape(len(x), M.BANDS, -1))
+    agree = (bands[0] == bands[1]).all(axis=2)
+    others = np.array([max((bands[0][:100, k] == bands[0][i, k]).all(axis=1).sum() for k in np.flatnonzero(agree[i])) if agree[i].any() else 0 for i in range(len(base))])
+    some = np.flatnonzero((agree.sum(axis=1) == 1) & (M.jaccard(a, b) >= M.THRESHOLD) & (others > 0) & (np.arange(len(base)) >= 100))
+    assert len(some)
+    rows = list(enumerate(base[:100] + [side[i] for i in some for side in sides]))
+    got = {x.doc_id: x.group_id for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), exact=2).collect()}
+    assert got == brute(rows) and len(got) == 2 * len(some)
+
+
 def test_repeated_ids_are_one_document(spark):
     a, b, c = (prose(80, k) for k in (1, 2, 3))
     w = Words(pa.array([a, b], pa.large_string()))
