@@ -30,7 +30,9 @@ windows; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -68,8 +70,8 @@ def weights(tf: np.ndarray, length: np.ndarray, rarity: np.ndarray, mean: float)
     return np.rint(rarity * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))) * GRAIN).astype(np.float32)
 
 
-def _postings(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Words in each text; sorted words, in how many texts each is, and these texts with how often they have it."""
+def _counted(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Words in each text; the words, in which texts they are and how often, sorted by word and text."""
     w = Words(texts)
     count, word, text = w.count, w.hash, w.text.astype(np.int32)
     del w
@@ -80,7 +82,17 @@ def _postings(texts: pa.Array) -> tuple[np.ndarray, ...]:
     new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     tf = np.minimum(np.diff(np.append(at, len(word))), _MOST)
-    word, text = word[at], text[at]
+    return count, word[at], text[at], tf.astype(_KINDS["tf"])
+
+
+def _postings(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of consecutive texts, `_counted` in parts: words in each text; sorted words, in how many texts each is, and these texts with how often they have it."""
+    count, word, tf = (np.concatenate([x[k] for x in parts]) for k in (0, 1, 3))
+    first = np.cumsum([0] + [len(x[0]) for x in parts])
+    text = np.concatenate([x[2] + np.int32(a) for x, a in zip(parts, first)])
+    order = np.argsort(word, kind="stable")
+    word, text, tf = word[order], text[order], tf[order]
+    del order
     new = np.ones(len(word), bool)
     new[1:] = word[1:] != word[:-1]
     at = np.flatnonzero(new)
@@ -169,23 +181,24 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
 
         def shard():
             nonlocal part, held, size
-            table = pa.Table.from_batches(held)
+            ids, keys, parts = zip(*held)
             part, held, size = part + 1, [], 0
-            count, words, many, text, tf = _postings(strings(table.column("text")))
+            count, words, many, text, tf = _postings(parts)
             there = np.flatnonzero(count > 0)
-            ids = table.column("id").combine_chunks().take(pa.array(there))
+            ids = pa.concat_arrays(ids).take(pa.array(there))
             place = np.full(len(count), -1, np.int32)
             place[there] = np.arange(len(there))
-            key = table.column("key").to_numpy().view(np.uint64)[there]
+            key = np.concatenate(keys).view(np.uint64)[there]
             cols = {"key": key, "count": count[there], "words": words, "size": many, "text": place[text], "tf": tf}
             blobs = [pa.array([x.astype(_KINDS[k]).tobytes()], pa.binary()) for k, x in cols.items()]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "key", *_COLUMNS])
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                if held and (size + piece.nbytes > shard_bytes or sum(map(len, held)) + len(piece) > _MOST):
+                if held and (size + piece.nbytes > shard_bytes or sum(len(k) for _, k, _ in held) + len(piece) > _MOST):
                     yield shard()
-                held.append(piece)
+                # words are counted slice by slice, and no text is held: copies, for a slice keeps the memory of its batch
+                held.append((piece.column(0).take(pa.array(range(len(piece)), pa.int64())), piece.column(1).to_numpy().copy(), _counted(strings(piece.column(2)))))
                 size += piece.nbytes
         if held:
             yield shard()
@@ -340,19 +353,24 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = count % window
     used = rest == 0
     path = f"{shared_folder(spark)}/packing-windows-{uuid.uuid4().hex}.parquet"
-    out: list[tuple] = []
+    out = [*(array("q") for _ in range(5)), array("d")]
+
+    def add(*row) -> None:
+        for c, x in zip(out, row):
+            c.append(x)
 
     def write(least: int) -> None:
-        if len(out) >= least:
-            cols = list(zip(*out)) or [()] * 6
-            made = pa.table([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["window", "place", "doc", "first_word", "n_words", "score"])
+        if len(out[0]) >= least:
+            cols = [np.array(c) for c in out]  # a seed's score is no number
+            made = pa.table([*map(pa.array, cols[:5]), pa.array(cols[5], mask=np.isnan(cols[5]))], names=["window", "place", "doc", "first_word", "n_words", "score"])
             spark.createDataFrame(made).coalesce(1).write.mode("append").parquet(path)
-            out.clear()
+            for c in out:
+                del c[:]
 
     number = 0
     for doc in np.lexsort((np.arange(n), key))[: n if (count >= window).any() else 0]:
         for a in range(0, int(count[doc] - rest[doc]), window):
-            out.append((number, 0, int(doc), a, window, None))
+            add(number, 0, int(doc), a, window, np.nan)
             number += 1
         write(1_000_000)
     starts = np.array(list(begin.values()), np.int64)
@@ -361,7 +379,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seed = choose_seeds(rest, key, used, window)
         used[seed] = True
         room, place = window - rest[seed], np.ones(len(seed), np.int64)
-        out.extend(zip(range(number, number + len(seed)), [0] * len(seed), seed.tolist(), (count - rest)[seed].tolist(), rest[seed].tolist(), [None] * len(seed)))
+        for c, x in zip(out, (np.arange(number, number + len(seed)), np.zeros(len(seed), np.int64), seed, (count - rest)[seed], rest[seed], np.full(len(seed), np.nan))):
+            c.frombytes(x.tobytes())
         open_ = np.ones(len(seed), bool)
         asking = None
         while not used.all():
@@ -388,6 +407,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
                 query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
+                del rows, at, words, rarity
+                gc.collect()  # what a look-up sends to executors hangs in cycles, and is large but few objects
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):
                     i, j = edge[q], edge[q + 1]
@@ -396,7 +417,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         d = int(doc[k])
                         if rest[d] <= left:
                             used[d] = True
-                            out.append((number + s, int(place[s]), d, int(count[d] - rest[d]), int(rest[d]), float(score[k]) / GRAIN))
+                            add(number + s, int(place[s]), d, int(count[d] - rest[d]), int(rest[d]), float(score[k]) / GRAIN)
                             left -= int(rest[d])
                             place[s] += 1
                     room[s] = left

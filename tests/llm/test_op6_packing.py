@@ -1,11 +1,16 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessella.llm.packing import GRAIN, choose_seeds, idf, pack_windows, weights
+from tessella.llm.packing import GRAIN, _counted, _postings, choose_seeds, idf, pack_windows, weights
+from tessella.llm.text import slices, strings
+
+from .conftest import prose
 
 
 def keys(spark, rows):
@@ -85,6 +90,19 @@ def test_neighbours_share_a_word_and_score_as_bm25(spark):
             assert abs(x.score - want) < 12 / GRAIN
 
 
+def test_words_are_counted_in_little_memory():
+    # 16 MB of text, as a shard has; numpy reports its arrays to tracemalloc
+    texts = pa.array([prose(1000, k, 20_000) for k in range(50)] * 48, pa.string())
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    tracemalloc.start()
+    count, words, many, text, tf = _postings([_counted(strings(part.column(0))) for part in slices(batch, "text")])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * texts.nbytes
+    whole = _postings([_counted(strings(texts))])
+    assert all((a == b).all() for a, b in zip((count, words, many, text, tf), whole))
+
+
 def test_every_word_is_in_one_window(spark, hard_docs, no_docs):
     rows = pack_windows(hard_docs, window=500).collect()
     size = defaultdict(int)
