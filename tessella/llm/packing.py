@@ -408,7 +408,9 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
                 query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
                 del rows, at, words, rarity
-                gc.collect()  # what a look-up sends to executors hangs in cycles, and is large but few objects
+                # plans, broadcasts and checkpoints of a look-up stay on both sides of the driver until its garbage is collected
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):
                     i, j = edge[q], edge[q + 1]
