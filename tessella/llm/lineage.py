@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def collect_garbage(spark: SparkSession, executors: bool = True) -> None:
+    """Collects garbage in the driver and, unless told otherwise, in the executors, whose heaps give back what they don't need.
+
+    An executor's heap grows up to its limit with the arrays that pass through it, and shrinks only in a full collection;
+    its Python workers need that memory. As many tasks as cores, so that most executors get one; it is no matter if one doesn't."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    if not executors:
+        return
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') is null as done").write.format("noop").mode("overwrite").save()

@@ -30,7 +30,6 @@ windows; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.partitioning import spread
-from .lineage import cut, shared_folder, shared_table
+from .lineage import collect_garbage, cut, shared_folder, shared_table
 from .text import Words, slices, strings
 
 #: Words in a window, and bytes of text in a shard of the index.
@@ -52,6 +51,8 @@ K1, B = 1.2, 0.75
 SEEDS, NEAR, BATCH, FEW = 2048, 64, 64, 16
 #: A word in at least one of so many pieces of a shard is scored by a matrix product.
 DENSE = 32
+#: Postings that are weighed at once, and look-ups after which the executors' garbage is collected.
+PART, EVERY = 1 << 17, 4
 #: Weights are rounded to multiples of one so-manyth.
 GRAIN = 256
 
@@ -99,29 +100,43 @@ def _postings(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return count, word[at], np.diff(np.append(at, len(word))), text, tf
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Their rows, in which blobs are views of Arrow's memory."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {n: c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+
+
 def _blob(row: dict, *names: str) -> list[np.ndarray]:
     return [np.frombuffer(row[n] or b"", _KINDS[n]) for n in names]
 
 
 class Shard:
-    """The unused pieces of a shard, and what the words of some queries weigh in them."""
+    """The unused pieces of a shard that have room in some window, and what the words of some queries weigh in them."""
 
-    def __init__(self, row: dict, used: np.ndarray, rest: np.ndarray, vocabulary: np.ndarray, rarity: np.ndarray, mean: float):
+    def __init__(self, row: dict, used: np.ndarray, rest: np.ndarray, most: int, vocabulary: np.ndarray, rarity: np.ndarray, mean: float):
         count, words, size, text, tf = _blob(row, *_COLUMNS)
-        self.piece = np.flatnonzero(~used)
-        self.rest, self.n = rest[self.piece], len(self.piece)
+        piece = np.flatnonzero(~used & (rest <= most))
         place = np.full(len(count), -1, np.int32)
-        place[self.piece] = np.arange(self.n)
+        place[piece] = np.arange(len(piece))
         i = np.minimum(np.searchsorted(words, vocabulary), len(words) - 1)
         known = words[i] == vocabulary
         of = np.full(len(words), -1, np.int32)
         of[i[known]] = np.flatnonzero(known)
-        term, doc = np.repeat(of, size), place[text]
-        keep = (doc >= 0) & (term >= 0)
-        term, self.doc = term[keep], doc[keep]
-        self.weight = weights(tf[keep].astype(np.float64), count[text[keep]], rarity[term], mean)
+        term = np.repeat(of, size)
+        keep = term >= 0
+        keep &= place[text] >= 0
+        term, text, tf = term[keep], text[keep], tf[keep]
+        weight = np.empty(len(term), np.float32)
+        for a in range(0, len(term), PART):  # in double precision, of which no more than a part is held
+            b = a + PART
+            weight[a:b] = weights(tf[a:b].astype(np.float64), count[text[a:b]], rarity[term[a:b]], mean)
+        self._hold(piece, rest[piece], term, place[text], weight, len(vocabulary))
+
+    def _hold(self, piece: np.ndarray, rest: np.ndarray, term: np.ndarray, doc: np.ndarray, weight: np.ndarray, words: int) -> None:
+        self.piece, self.rest, self.n, self.doc, self.weight = piece, rest, len(piece), doc, weight
         # words ascend in the shard and in the vocabulary
-        self.size = np.bincount(term, minlength=len(vocabulary))
+        self.size = np.bincount(term, minlength=words)
         self.start = np.cumsum(self.size) - self.size
         #: Frequent words are rows of a matrix.
         self.dense = (self.size * DENSE >= self.n) & (self.size > 0)
@@ -130,6 +145,15 @@ class Shard:
         full = self.dense[term]
         self.matrix[self.row[term[full]], self.doc[full]] = self.weight[full]
 
+    def shrink(self, most: int) -> None:
+        """Leaves the pieces of at most so many words, if these are less than half of the pieces."""
+        fits = self.rest <= most
+        if int(fits.sum()) * 2 >= self.n:
+            return
+        keep, place = fits[self.doc], (np.cumsum(fits) - 1).astype(np.int32)
+        term = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[keep]
+        self._hold(self.piece[fits], self.rest[fits], term, place[self.doc[keep]], self.weight[keep], len(self.size))
+
     def scores(self, asked: list[np.ndarray]) -> np.ndarray:
         """(queries, pieces) scores of queries that are given by places in the vocabulary."""
         row, term = np.repeat(np.arange(len(asked), dtype=np.int32), [len(t) for t in asked]), np.concatenate(asked)
@@ -286,32 +310,37 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.zeros(len(asked), np.float32)
         got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.uint64)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                count = np.frombuffer(row["count"], np.int64)
-                base = begin[row["shard"]]
-                low = base // 8
-                gone = np.unpackbits(bits[low : (base + len(count)) // 8 + 1])[base - low * 8 :][: len(count)].astype(bool)
-                if gone.all():
-                    continue
-                shard = Shard(row, gone, count % window, vocabulary, every, mean)
-                own = np.frombuffer(row["key"], np.uint64)
-                found = [got]
-                for a in range(0, len(asked), BATCH):
-                    score = shard.scores(asked[a : a + BATCH])
-                    score[shard.rest > room[a : a + BATCH, None]] = 0
-                    low = np.maximum(least[a : a + BATCH], 0.5)
-                    if shard.n > near:
-                        many = (score >= low[:, None]).sum(axis=1)
-                        for r in np.flatnonzero(many > 2 * near).tolist():
-                            low[r] = max(low[r], np.partition(score[r], shard.n - near)[shard.n - near])
-                    r, j = np.nonzero(score >= low[:, None])
-                    found.append([r + a, shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
-                got = [np.concatenate(x) for x in zip(*found)]
-                best = _best(*got, near)
-                got = [x[best] for x in got]
-                last = np.flatnonzero(np.bincount(got[0], minlength=len(asked)) == near)
-                least[last] = got[2][np.searchsorted(got[0], last, "right") - 1]
+        by = np.argsort(-room, kind="stable")  # the most room first: a shard's pieces become fewer
+        for row in _rows(batches):
+            count = np.frombuffer(row["count"], np.int64)
+            base = begin[row["shard"]]
+            low = base // 8
+            gone = np.unpackbits(bits[low : (base + len(count)) // 8 + 1])[base - low * 8 :][: len(count)].astype(bool)
+            if gone.all():
+                continue
+            shard = Shard(row, gone, count % window, int(room.max()), vocabulary, every, mean)
+            own = np.frombuffer(row["key"], np.uint64)
+            found = [got]
+            for a in range(0, len(asked), BATCH):
+                q = by[a : a + BATCH]
+                shard.shrink(int(room[q[0]]))
+                if not shard.n:
+                    break
+                score = shard.scores([asked[k] for k in q.tolist()])
+                score[shard.rest > room[q, None]] = 0
+                low = np.maximum(least[q], 0.5)
+                if shard.n > near:
+                    many = (score >= low[:, None]).sum(axis=1)
+                    for r in np.flatnonzero(many > 2 * near).tolist():
+                        low[r] = max(low[r], np.partition(score[r], shard.n - near)[shard.n - near])
+                r, j = np.nonzero(score >= low[:, None])
+                found.append([q[r], shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
+            del shard
+            got = [np.concatenate(x) for x in zip(*found)]
+            best = _best(*got, near)
+            got = [x[best] for x in got]
+            last = np.flatnonzero(np.bincount(got[0], minlength=len(asked)) == near)
+            least[last] = got[2][np.searchsorted(got[0], last, "right") - 1]
         if len(got[0]):
             yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2]), pa.array(got[3].view(np.int64))], names=["seed", "doc", "score", "key"])
 
@@ -342,6 +371,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each piece of a document: (window, place, id, first_word, n_words, score); the seed has place 0 and no score."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    collect_garbage(spark)  # what ran before may have left large heaps
     index = _index(spread(slim.where("text is not null")), kind, shard_bytes)
     sizes = sorted((r["shard"], *_blob(r, "count", "key")) for r in index.select("shard", "count", "key").toArrow().to_pylist())
     begin = {s: int(b) for (s, _, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c, _ in sizes]))}
@@ -367,12 +397,13 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for c in out:
                 del c[:]
 
-    number = 0
+    number = looked = 0
     for doc in np.lexsort((np.arange(n), key))[: n if (count >= window).any() else 0]:
         for a in range(0, int(count[doc] - rest[doc]), window):
             add(number, 0, int(doc), a, window, np.nan)
             number += 1
         write(1_000_000)
+    collect_garbage(spark)
     starts = np.array(list(begin.values()), np.int64)
     shards = list(begin)
     while not used.all():
@@ -409,8 +440,8 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
                 del rows, at, words, rarity
                 # plans, broadcasts and checkpoints of a look-up stay on both sides of the driver until its garbage is collected
-                gc.collect()
-                spark.sparkContext._jvm.System.gc()
+                looked += 1
+                collect_garbage(spark, executors=looked % EVERY == 0)
                 edge = np.searchsorted(query, np.arange(len(some) + 1)).tolist()
                 for q, s in enumerate(some.tolist()):
                     i, j = edge[q], edge[q + 1]

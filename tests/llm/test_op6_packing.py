@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -7,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.llm.packing import GRAIN, _counted, _postings, choose_seeds, idf, pack_windows, weights
+from tessella.llm.packing import GRAIN, Shard, _counted, _postings, choose_seeds, idf, pack_windows, weights
 from tessella.llm.text import slices, strings
 
 from .conftest import prose
@@ -103,6 +106,60 @@ def test_words_are_counted_in_little_memory():
     assert all((a == b).all() for a, b in zip((count, words, many, text, tf), whole))
 
 
+def test_a_shard_holds_only_pieces_that_have_room():
+    # what is left out fits no window; what stays scores as before
+    r = random.Random(3)
+    texts = pa.array([" ".join(f"w{int(r.random() ** 2 * 90)}" for _ in range(r.randrange(1, 80))) for _ in range(200)], pa.large_string())
+    count, words, many, text, tf = _postings([_counted(texts)])
+    row = {"count": count.astype(np.int64), "words": words, "size": many.astype(np.int32), "text": text.astype(np.uint16), "tf": tf}
+    row = {k: x.tobytes() for k, x in row.items()}
+    used, rarity = np.arange(200) % 7 == 0, idf(200, many)
+    asked = [np.sort(np.array(r.sample(range(len(words)), 20), np.int32)) for _ in range(9)]
+    make = lambda most: Shard(row, used, count, most, words, rarity, float(count.mean()))
+    whole, small, later = make(10**6), make(15), make(10**6)
+    later.shrink(79)
+    assert later.n == whole.n == int((~used).sum())
+    later.shrink(15)
+    want = np.flatnonzero(~used & (count <= 15))
+    for shard in (small, later):
+        assert shard.piece.tolist() == want.tolist() and len(shard.doc) < len(whole.doc) / 4
+        assert (shard.scores(asked) == whole.scores(asked)[:, np.searchsorted(whole.piece, want)]).all()
+    later.shrink(0)
+    assert later.n == 0
+
+
+_GROWN = """
+import os, pathlib, sys, tempfile
+from pyspark.sql import SparkSession
+from tessella.llm.lineage import collect_garbage
+
+spark = SparkSession.builder.master("local-cluster[1,1,1500]").config("spark.executor.memory", "900m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp()).getOrCreate()
+spark.range(3000000).selectExpr("repeat(cast(id as string), 40) x").repartition(4).selectExpr("max(x)").collect()
+
+def resident():
+    for p in pathlib.Path("/proc").glob("[0-9]*"):
+        try:
+            cmd = (p / "cmdline").read_text()
+            if "CoarseGrainedExecutorBackend" in cmd and spark.sparkContext.applicationId in cmd:
+                return int(next(x for x in (p / "status").read_text().splitlines() if x.startswith("VmRSS")).split()[1]) >> 10
+        except OSError:
+            pass
+
+before = resident()
+collect_garbage(spark)
+print("MB", before, resident())
+spark.stop()
+"""
+
+
+def test_executors_give_back_their_garbage(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_", "JAVA_TOOL"))} | {"PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")]), "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", _GROWN], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180).stdout
+    before, after = map(int, re.search(r"MB (\d+) (\d+)", out).groups())
+    assert after < before - 150
+
+
 def test_every_word_is_in_one_window(spark, hard_docs, no_docs):
     rows = pack_windows(hard_docs, window=500).collect()
     size = defaultdict(int)
