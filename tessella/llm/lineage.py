@@ -32,10 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder."""
+def shared_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, written with further options."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

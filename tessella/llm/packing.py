@@ -10,7 +10,9 @@ word with the seed. When the windows take no more, seeds are drawn anew from wha
 
 The index is cut into shards of about `SHARD_BYTES` of text, which decide about cost only:
 document frequencies, number and mean length are those of the whole table, and every seed
-queries every shard. `SEEDS` seeds are looked up at a time: the shards return the `NEAR`
+queries every shard. A shard holds documents of one kind, a language for instance, as far
+as its task can tell; a seed of another kind has few words there, so it costs little, and
+nothing where these can't reach the best that it has got (the bound is exact). `SEEDS` seeds are looked up at a time: the shards return the `NEAR`
 best unused pieces that fit (all of them, not those of a sample), the driver fills these
 windows one after the other, and a window that its `NEAR` best don't fill asks again once
 all seeds had their turn, until it is full or nothing that fits shares a word with it.
@@ -41,18 +43,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.partitioning import spread
-from .lineage import collect_garbage, cut, shared_folder, shared_table
+from .lineage import collect_garbage, shared_folder, shared_table
 from .text import Words, slices, strings
 
 #: Words in a window, and bytes of text in a shard of the index.
 WINDOW, SHARD_BYTES = 4096, 16 << 20
 K1, B = 1.2, 0.75
 #: Seeds that are looked up at a time, candidates that each gets, seeds that a shard scores at once, and those whose rarer words it adds up at once.
-SEEDS, NEAR, BATCH, FEW = 2048, 64, 64, 16
+SEEDS, NEAR, BATCH, FEW = 2048, 64, 256, 64
 #: A word in at least one of so many pieces of a shard is scored by a matrix product.
 DENSE = 32
 #: Postings that are weighed at once, and look-ups after which the executors' garbage is collected.
 PART, EVERY = 1 << 17, 4
+#: Kinds of documents that a task of the index tells apart at most, documents and frequent words by which it does, and the cosine from which two kinds are one.
+KINDS, LEARN, MARKS, ALIKE = 8, 2000, 256, 0.5
 #: Weights are rounded to multiples of one so-manyth.
 GRAIN = 256
 
@@ -100,6 +104,38 @@ def _postings(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return count, word[at], np.diff(np.append(at, len(word))), text, tf
 
 
+def kinds(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words that tell kinds of texts apart and the kinds' centres, learnt from some texts, `_counted` in parts."""
+    count, word, many, text, _ = _postings(parts)
+    mark = np.sort(np.argsort(-many, kind="stable")[:MARKS])
+    x = _marked(len(count), np.repeat(word, many), text, word[mark])
+    x = x[x.any(axis=1)]
+    if not len(x):
+        return word[mark], np.zeros((1, len(mark)), np.float32)
+    centres = x[:1]
+    for _ in range(KINDS - 1):  # the text least like those chosen is the next
+        centres = np.vstack([centres, x[[int((x @ centres.T).max(axis=1).argmin())]]])
+    for _ in range(5):
+        of = (x @ centres.T).argmax(axis=1)
+        centres = np.array([x[of == k].sum(axis=0) for k in np.unique(of)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    own = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
+    kept = []
+    for k in np.argsort(-own, kind="stable").tolist():
+        if not kept or (own[k] * 50 >= len(x) and (centres[kept] @ centres[k]).max() < ALIKE):
+            kept.append(k)
+    return word[mark], centres[kept]
+
+
+def _marked(n: int, word: np.ndarray, text: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """(texts, marks) which of the marks texts have, as vectors of length 1."""
+    x = np.zeros((n, len(marks)), np.float32)
+    i = np.minimum(np.searchsorted(marks, word), max(len(marks) - 1, 0))
+    known = marks[i] == word if len(marks) else np.zeros(len(word), bool)
+    x[text[known], i[known]] = 1
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Their rows, in which blobs are views of Arrow's memory."""
     for batch in batches:
@@ -144,6 +180,14 @@ class Shard:
         self.matrix = np.zeros((int(self.dense.sum()), self.n), np.float32)
         full = self.dense[term]
         self.matrix[self.row[term[full]], self.doc[full]] = self.weight[full]
+        some = self.size > 0
+        self.most = np.zeros(words)
+        if some.any():
+            self.most[some] = np.maximum.reduceat(weight, self.start[some])
+
+    def bounds(self, term: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What no score of each query exceeds; queries begin at `first` in `term`, none is empty."""
+        return np.add.reduceat(self.most[term], first)
 
     def shrink(self, most: int) -> None:
         """Leaves the pieces of at most so many words, if these are less than half of the pieces."""
@@ -160,7 +204,9 @@ class Shard:
         full = self.dense[term]
         query = np.zeros((len(asked), len(self.matrix)), np.float32)
         query[row[full], self.row[term[full]]] = 1
-        score = query @ self.matrix
+        has = np.zeros(len(self.matrix), bool)
+        has[self.row[term[full]]] = True
+        score = query[:, has] @ self.matrix[has] if int(has.sum()) * 2 < len(has) else query @ self.matrix
         some = ~full & (self.size[term] > 0)
         row, term = row[some], term[some]
         for a in range(0, len(asked), FEW):  # so few that their scores stay in the cache, each word's pieces together
@@ -172,8 +218,7 @@ class Shard:
             if total:
                 at = np.repeat((self.start[t] - (np.cumsum(many) - many)).astype(np.int32), many) + np.arange(total, dtype=np.int32)
                 key = np.repeat((row[i:j][by] - a) * np.int32(self.n), many) + self.doc[at]
-                part = score[a : a + FEW]
-                part += np.bincount(key, weights=self.weight[at], minlength=part.size).reshape(part.shape)
+                np.add.at(score[a : a + FEW].reshape(-1), key, self.weight[at])
         return score
 
 
@@ -201,12 +246,16 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
-        held, size = [], 0
-
-        def shard():
-            nonlocal part, held, size
-            ids, keys, parts = zip(*held)
-            part, held, size = part + 1, [], 0
+        first, learnt, learn = [], 0, None
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def shard(*of: int):
+            nonlocal part
+            ids, keys, parts = zip(*(x for k in of for x in held.pop(k)))
+            for k in of:
+                del size[k]
+            part += 1
             count, words, many, text, tf = _postings(parts)
             there = np.flatnonzero(count > 0)
             ids = pa.concat_arrays(ids).take(pa.array(there))
@@ -217,18 +266,52 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
             blobs = [pa.array([x.astype(_KINDS[k]).tobytes()], pa.binary()) for k, x in cols.items()]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *blobs], names=["shard", "ids", "key", *_COLUMNS])
 
+        def add(ids: pa.Array, key: np.ndarray, counted: tuple[np.ndarray, ...], nbytes: int) -> Iterator[pa.RecordBatch]:
+            count, word, text, tf = counted
+            of = (_marked(len(count), word, text, learn[0]) @ learn[1].T).argmax(axis=1)
+            for k in np.unique(of).tolist():
+                there = np.flatnonzero(of == k)
+                share = nbytes * int(count[there].sum()) // max(1, int(count.sum()))
+                if k in held and (size[k] + share > shard_bytes or sum(len(x) for _, x, _ in held[k]) + len(there) > _MOST):
+                    yield shard(k)
+                place, own = np.cumsum(of == k, dtype=np.int32) - 1, of[text] == k
+                held.setdefault(k, []).append((ids.take(pa.array(there)), key[there], (count[there], word[own], place[text[own]], tf[own])))
+                size[k] = size.get(k, 0) + share
+            while sum(size.values()) > 2 * shard_bytes:
+                yield shard(max(size, key=size.get))
+
+        def start() -> Iterator[pa.RecordBatch]:
+            nonlocal first, learn
+            learn = kinds([x[2] for x in first])
+            for x in first:
+                yield from add(*x)
+            first = []
+
         for batch in batches:
             for piece in slices(batch, "text"):
-                if held and (size + piece.nbytes > shard_bytes or sum(len(k) for _, k, _ in held) + len(piece) > _MOST):
-                    yield shard()
                 # words are counted slice by slice, and no text is held: copies, for a slice keeps the memory of its batch
-                held.append((piece.column(0).take(pa.array(range(len(piece)), pa.int64())), piece.column(1).to_numpy().copy(), _counted(strings(piece.column(2)))))
-                size += piece.nbytes
-        if held:
-            yield shard()
+                got = piece.column(0).take(pa.array(range(len(piece)), pa.int64())), piece.column(1).to_numpy().copy(), _counted(strings(piece.column(2))), piece.nbytes
+                if learn:
+                    yield from add(*got)
+                    continue
+                first.append(got)
+                learnt += len(piece)
+                if learnt >= LEARN or sum(x[3] for x in first) > shard_bytes // 2:
+                    yield from start()
+        if first:
+            yield from start()
+        small: list[int] = []
+        for k in sorted(held, key=size.get):  # kinds of which there is little share a shard
+            if small and (sum(size[x] for x in [*small, k]) > shard_bytes // 4 or sum(len(x) for i in [*small, k] for _, x, _ in held[i]) > _MOST):
+                yield shard(*small)
+                small = []
+            small.append(k)
+        if small:
+            yield shard(*small)
 
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("key", *_COLUMNS))])
-    return shared_table(slim.mapInArrow(run, schema), "packing-index")
+    # a row group for each shard (else the size is looked at every 100 rows), so that splits hold equally much
+    return shared_table(slim.mapInArrow(run, schema), "packing-index", **{"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1"})
 
 
 def _frequencies(index: DataFrame, shards: int) -> DataFrame:
@@ -300,17 +383,20 @@ def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int,
     return shared_table(own.join(frequencies, "shard").mapInArrow(weigh, "seed bigint, words binary, idf binary").where("length(words) > 0"), "packing-queries")
 
 
-def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, key: np.ndarray, rest: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
+def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
     """(query, piece, score) of the `near` best unused pieces that fit each query's room, in order of query and score."""
     vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
     every = np.concatenate(rarity)[first].astype(np.float64)
-    asked = np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in word])[:-1])
+    term, first = inverse.astype(np.int32), np.cumsum([0] + [len(x) for x in word])[:-1]
     bits = np.packbits(used)
+    groups = max(1, index.sparkSession.sparkContext.defaultParallelism)
+    names, forms = ["seed", "doc", "score", "key"], [np.int32, np.int64, np.float32, np.uint64]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.split(term, first[1:])
         least = np.zeros(len(asked), np.float32)
-        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.uint64)]
-        by = np.argsort(-room, kind="stable")  # the most room first: a shard's pieces become fewer
+        got = [np.zeros(0, k) for k in forms]
+        octave = np.frexp(room.astype(np.float64))[1]  # room < 2 ** octave
         for row in _rows(batches):
             count = np.frombuffer(row["count"], np.int64)
             base = begin[row["shard"]]
@@ -321,9 +407,12 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
             shard = Shard(row, gone, count % window, int(room.max()), vocabulary, every, mean)
             own = np.frombuffer(row["key"], np.uint64)
             found = [got]
-            for a in range(0, len(asked), BATCH):
+            bound = shard.bounds(term, first)
+            by = np.flatnonzero(bound >= np.maximum(least, 0.5))  # the others find nothing better here
+            by = by[np.lexsort((-bound[by], -octave[by]))]  # the most room first, as a shard's pieces become fewer; queries of the shard's kind together
+            for a in range(0, len(by), BATCH):
                 q = by[a : a + BATCH]
-                shard.shrink(int(room[q[0]]))
+                shard.shrink(1 << int(octave[q[0]]))
                 if not shard.n:
                     break
                 score = shard.scores([asked[k] for k in q.tolist()])
@@ -334,27 +423,34 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
                     for r in np.flatnonzero(many > 2 * near).tolist():
                         low[r] = max(low[r], np.partition(score[r], shard.n - near)[shard.n - near])
                 r, j = np.nonzero(score >= low[:, None])
-                found.append([q[r], shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
+                found.append([q[r].astype(np.int32), shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
             del shard
             got = [np.concatenate(x) for x in zip(*found)]
             best = _best(*got, near)
             got = [x[best] for x in got]
             last = np.flatnonzero(np.bincount(got[0], minlength=len(asked)) == near)
             least[last] = got[2][np.searchsorted(got[0], last, "right") - 1]
-        if len(got[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2]), pa.array(got[3].view(np.int64))], names=["seed", "doc", "score", "key"])
+        yield from blobs(got)
+
+    def blobs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row for each group of seeds: single candidates as rows would cost more than to find them."""
+        for g in np.unique(cols[0] % groups).tolist():
+            own = cols[0] % groups == g
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x[own].astype(k).tobytes()], pa.binary()) for x, k in zip(cols, forms))], names=["part", *names])
+
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0, k), *(np.frombuffer(x.as_buffer(), k) for x in table.column(n))]) for n, k in zip(names, forms)]
 
-    def merge(table):
-        seed, doc, score, key = (table.column(k).to_numpy() for k in range(4))
-        return table.take(pa.array(_best(seed, doc, score, key.view(np.uint64), near))).select(["seed", "doc", "score"])
+    def merge(table: pa.Table) -> pa.Table:
+        cols = read(table)
+        best = _best(*cols, near)
+        return pa.Table.from_batches(blobs([x[best] for x in cols]))
 
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    own = index.select("shard", "key", *_COLUMNS).coalesce(max(1, cores)).mapInArrow(run, "seed int, doc bigint, score float, key bigint")
+    schema = ", ".join(["part int", *(f"{n} binary" for n in names)])
     with _one_a_batch(index.sparkSession):
-        own = cut(own)  # what follows has many small rows, which go to Python in large batches
-    got = own.groupBy(F.pmod("seed", F.lit(max(1, cores)))).applyInArrow(merge, "seed int, doc bigint, score float").toArrow()
-    seed, doc, score = (got.column(k).to_numpy() for k in range(3))
-    best = _best(seed, doc, score, key[doc], near)
+        own = index.select("shard", "key", *_COLUMNS).coalesce(groups).mapInArrow(run, schema)
+        seed, doc, score, tie = read(own.groupBy("part").applyInArrow(merge, schema).toArrow())
+    best = _best(seed, doc, score, tie, near)
     return seed[best], doc[best], score[best]
 
 
@@ -372,7 +468,10 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     collect_garbage(spark)  # what ran before may have left large heaps
-    index = _index(spread(slim.where("text is not null")), kind, shard_bytes)
+    slim = spread(slim.where("text is not null"))
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    # a task that sees more text has fewer shards that aren't full
+    index = _index(slim.coalesce(max(2 * cores, slim.rdd.getNumPartitions() // 3)), kind, shard_bytes)
     sizes = sorted((r["shard"], *_blob(r, "count", "key")) for r in index.select("shard", "count", "key").toArrow().to_pylist())
     begin = {s: int(b) for (s, _, _), b in zip(sizes, np.cumsum([0] + [len(c) for _, c, _ in sizes]))}
     count = np.concatenate([np.zeros(0, np.int64), *(c for _, c, _ in sizes)])
@@ -437,7 +536,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not len(some):
                     continue
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
-                query, doc, score = _look_up(index, begin, words, rarity, room[some], key, rest, used, mean, window, near)
+                query, doc, score = _look_up(index, begin, words, rarity, room[some], used, mean, window, near)
                 del rows, at, words, rarity
                 # plans, broadcasts and checkpoints of a look-up stay on both sides of the driver until its garbage is collected
                 looked += 1

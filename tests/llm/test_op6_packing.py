@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F, types as T
 
-from tessella.llm.packing import GRAIN, Shard, _counted, _postings, choose_seeds, idf, pack_windows, weights
+from tessella.llm.packing import GRAIN, Shard, _counted, _index, _postings, choose_seeds, idf, pack_windows, weights
 from tessella.llm.text import slices, strings
 
 from .conftest import prose
@@ -128,6 +129,27 @@ def test_a_shard_holds_only_pieces_that_have_room():
     assert later.n == 0
 
 
+def test_a_shard_holds_one_kind_of_documents(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(r.random() ** 2 * 90)}" for _ in range(60))) for i in range(400)]
+    slim = spark.createDataFrame(rows, "id bigint, text string").coalesce(1).select("id", F.xxhash64("id").alias("key"), "text")
+    shards = [x.ids for x in _index(slim, T.LongType(), 20_000).select("ids").collect()]
+    assert sorted(i for ids in shards for i in ids) == list(range(400))
+    assert len(shards) == 2 and all(len({i % 2 for i in ids}) == 1 for ids in shards)
+
+
+def test_no_score_exceeds_its_bound():
+    r = random.Random(6)
+    texts = pa.array([" ".join(f"w{int(r.random() ** 2 * 90)}" for _ in range(r.randrange(1, 80))) for _ in range(200)], pa.large_string())
+    count, words, many, text, tf = _postings([_counted(texts)])
+    row = {"count": count.astype(np.int64), "words": words, "size": many.astype(np.int32), "text": text.astype(np.uint16), "tf": tf}
+    words = np.sort(np.append(words, np.uint64(7)))  # a word that the shard doesn't have
+    shard = Shard({k: x.tobytes() for k, x in row.items()}, np.zeros(200, bool), count, 10**6, words, np.ones(len(words)), float(count.mean()))
+    asked = [np.sort(np.array(r.sample(range(len(words)), k), np.int32)) for k in (1, 2, 20, 50)] + [np.flatnonzero(words == 7).astype(np.int32)]
+    bound = shard.bounds(np.concatenate(asked), np.cumsum([0] + [len(x) for x in asked])[:-1])
+    assert (shard.scores(asked) <= bound[:, None]).all() and bound[0] == shard.scores(asked)[0].max() and bound[-1] == 0
+
+
 _GROWN = """
 import os, pathlib, sys, tempfile
 from pyspark.sql import SparkSession
