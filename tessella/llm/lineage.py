@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +46,7 @@ def collect_garbage(spark: SparkSession, executors: bool = True) -> None:
     An executor's heap grows up to its limit with the arrays that pass through it, and shrinks only in a full collection;
     its Python workers need that memory. As many tasks as cores, so that most executors get one; it is no matter if one doesn't."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
     if not executors:
         return
