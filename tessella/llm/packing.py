@@ -16,6 +16,8 @@ nothing where these can't reach the best that it has got (the bound is exact). `
 best unused pieces that fit (all of them, not those of a sample), the driver fills these
 windows one after the other, and a window that its `NEAR` best don't fill asks again once
 all seeds had their turn, until it is full or nothing that fits shares a word with it.
+Once half of the pieces in the index are used it is written anew without them, so that the
+look-ups that follow read less; like shards are put together then.
 Weights are multiples of 1/`GRAIN`, so that sums of them are exact in single precision:
 results depend neither on shards nor on the order of additions.
 
@@ -50,18 +52,22 @@ from .text import Words, slices, strings
 WINDOW, SHARD_BYTES = 4096, 16 << 20
 K1, B = 1.2, 0.75
 #: Seeds that are looked up at a time, candidates that each gets, seeds that a shard scores at once, and those whose rarer words it adds up at once.
-SEEDS, NEAR, BATCH, FEW = 2048, 64, 256, 64
-#: A word in at least one of so many pieces of a shard is scored by a matrix product.
-DENSE = 32
+SEEDS, NEAR, BATCH, FEW = 2048, 64, 512, 64
+#: A word that at least one of so many pairs of a query and a piece share is scored by a matrix product, of which so many words are held.
+DENSE, ROWS = 256, 2048
 #: Postings that are weighed at once, and look-ups after which the executors' garbage is collected.
 PART, EVERY = 1 << 17, 4
+#: The index is written anew without its used pieces when these are half of it, unless it has no more pieces than this.
+SMALL = 4096
 #: Kinds of documents that a task of the index tells apart at most, documents and frequent words by which it does, and the cosine from which two kinds are one.
 KINDS, LEARN, MARKS, ALIKE = 8, 2000, 256, 0.5
 #: Weights are rounded to multiples of one so-manyth.
 GRAIN = 256
 
+#: A row group for each shard (else the size is looked at every 100 rows), so that splits hold equally much.
+_GROUPS = {"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1"}
 _COLUMNS = ["count", "words", "size", "text", "tf"]
-_KINDS = {"count": np.int64, "key": np.uint64, "words": np.uint64, "size": np.int32, "text": np.uint16, "tf": np.uint16, "shared": np.uint64, "df": np.int64}
+_KINDS = {"doc": np.int64, "count": np.int64, "key": np.uint64, "words": np.uint64, "size": np.int32, "text": np.uint16, "tf": np.uint16, "shared": np.uint64, "df": np.int64}
 #: Of a word in one text no more occurrences are told apart, and no more texts are in a shard.
 _MOST = 0xFFFF
 
@@ -174,12 +180,6 @@ class Shard:
         # words ascend in the shard and in the vocabulary
         self.size = np.bincount(term, minlength=words)
         self.start = np.cumsum(self.size) - self.size
-        #: Frequent words are rows of a matrix.
-        self.dense = (self.size * DENSE >= self.n) & (self.size > 0)
-        self.row = np.cumsum(self.dense) - 1
-        self.matrix = np.zeros((int(self.dense.sum()), self.n), np.float32)
-        full = self.dense[term]
-        self.matrix[self.row[term[full]], self.doc[full]] = self.weight[full]
         some = self.size > 0
         self.most = np.zeros(words)
         if some.any():
@@ -201,12 +201,21 @@ class Shard:
     def scores(self, asked: list[np.ndarray]) -> np.ndarray:
         """(queries, pieces) scores of queries that are given by places in the vocabulary."""
         row, term = np.repeat(np.arange(len(asked), dtype=np.int32), [len(t) for t in asked]), np.concatenate(asked)
-        full = self.dense[term]
-        query = np.zeros((len(asked), len(self.matrix)), np.float32)
-        query[row[full], self.row[term[full]]] = 1
-        has = np.zeros(len(self.matrix), bool)
-        has[self.row[term[full]]] = True
-        score = query[:, has] @ self.matrix[has] if int(has.sum()) * 2 < len(has) else query @ self.matrix
+        # words of many queries and pieces are multiplied as matrices, some at a time; of the others postings are added up
+        dense = np.bincount(term, minlength=len(self.size)) * self.size * DENSE > len(asked) * self.n
+        full, place, words = dense[term], np.cumsum(dense) - 1, np.flatnonzero(dense)
+        query = np.zeros((len(asked), len(words)), np.float32)
+        query[row[full], place[term[full]]] = 1
+        score = np.zeros((len(asked), self.n), np.float32)
+        matrix = np.empty((min(len(words), ROWS), self.n), np.float32)
+        for a in range(0, len(words), ROWS):
+            own = words[a : a + ROWS]
+            many = self.size[own]
+            at = np.repeat(self.start[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            part = matrix[: len(own)]
+            part[:] = 0
+            part.reshape(-1)[np.repeat(np.arange(len(own)) * self.n, many) + self.doc[at]] = self.weight[at]
+            score += query[:, a : a + ROWS] @ part
         some = ~full & (self.size[term] > 0)
         row, term = row[some], term[some]
         for a in range(0, len(asked), FEW):  # so few that their scores stay in the cache, each word's pieces together
@@ -236,9 +245,16 @@ def _one_a_batch(spark: SparkSession) -> Iterator[None]:
 
 def _best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, key: np.ndarray, near: int) -> np.ndarray:
     """Which of some candidates are the `near` best of their seed, in order of seed, score and key."""
-    order = np.lexsort((doc, key, -score, seed))
+    rank = (seed.astype(np.int64) << 40) - score.astype(np.int64)
+    order = np.argsort(rank)
+    rank = rank[order]
+    new = np.append(True, rank[1:] != rank[:-1])[: len(rank)]
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)[: len(rank)]))  # only these need their keys
+    at = order[tied]
+    order[tied] = at[np.lexsort((doc[at], key[at], rank[tied]))]
     s = seed[order]
-    return order[np.arange(len(s)) - np.searchsorted(s, s) < near]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    return order[np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s)))) < near]
 
 
 def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
@@ -310,8 +326,7 @@ def _index(slim: DataFrame, kind: T.DataType, shard_bytes: int) -> DataFrame:
             yield shard(*small)
 
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("key", *_COLUMNS))])
-    # a row group for each shard (else the size is looked at every 100 rows), so that splits hold equally much
-    return shared_table(slim.mapInArrow(run, schema), "packing-index", **{"parquet.block.size": str(1 << 20), "parquet.page.size.row.check.min": "1"})
+    return shared_table(slim.mapInArrow(run, schema), "packing-index", **_GROUPS)
 
 
 def _frequencies(index: DataFrame, shards: int) -> DataFrame:
@@ -379,17 +394,73 @@ def _queries(index: DataFrame, frequencies: DataFrame, n: int, number: dict[int,
                 spans = list(zip([0, *ends[:-1]], ends))
                 yield pa.RecordBatch.from_arrays([pa.array(seeds), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (word, rarity))], names=["seed", "words", "idf"])
 
-    own = index.select("shard", "words", "size", "text").mapInArrow(words, "shard bigint, seeds binary, sizes binary, words binary")
-    return shared_table(own.join(frequencies, "shard").mapInArrow(weigh, "seed bigint, words binary, idf binary").where("length(words) > 0"), "packing-queries")
+    few = F.col("shard").isin(list(number)) if len(number) <= FEW else F.lit(True)
+    own, frequencies = index.where(few).select("shard", "words", "size", "text"), frequencies.where(few)
+    own = own.mapInArrow(words, "shard bigint, seeds binary, sizes binary, words binary")
+    return shared_table(own.join(frequencies, "shard").mapInArrow(weigh, "seed bigint, words binary, idf binary").where("length(words) > 0").sortWithinPartitions("seed"), "packing-queries", **_GROUPS)
 
 
-def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
+def _gone(row: dict, begin: dict[int, int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a shard's pieces, and which of them are used."""
+    number = np.frombuffer(row["doc"], np.int64) if row["doc"] is not None else begin[row["shard"]] + np.arange(len(row["count"]) // 8)
+    return number, (bits[number >> 3] >> (7 - (number & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _left(pieces: DataFrame, begin: dict[int, int], used: np.ndarray, shard_bytes: int) -> DataFrame:
+    """The shards of the pieces that are unused, those of like words in one."""
+    bits, most = np.packbits(used), shard_bytes // 6
+    groups = max(1, pieces.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (frequent words, how much of them, parts) for each kind
+
+        def shard(parts: list) -> pa.RecordBatch:
+            number, key, counted = zip(*parts)
+            cols = dict(zip(_COLUMNS, _postings(counted)), doc=np.concatenate(number), key=np.concatenate(key))
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([cols[k].astype(_KINDS[k]).tobytes()], pa.binary()) for k in ("doc", "key", *_COLUMNS))], names=["shard", "doc", "key", *_COLUMNS])
+
+        for row in _rows(batches):
+            number, gone = _gone(row, begin, bits)
+            count, words, size, text, tf, key = _blob(row, *_COLUMNS, "key")
+            there = np.flatnonzero(~gone)
+            if not len(there):
+                continue
+            place = np.full(len(count), -1, np.int32)
+            place[there] = np.arange(len(there))
+            text = place[text]
+            keep = text >= 0
+            many = np.add.reduceat(keep, np.cumsum(size) - size, dtype=np.int64)
+            mark = np.sort(np.argsort(-many, kind="stable")[:MARKS])
+            own, share = words[mark], many[mark] / np.linalg.norm(many[mark])
+            parts = [(number[there], key[there], (count[there], np.repeat(words, size)[keep], text[keep], tf[keep]))]
+            for k, (marks, shares, of) in enumerate(held):
+                _, i, j = np.intersect1d(marks, own, assume_unique=True, return_indices=True)
+                if shares[i] @ share[j] >= ALIKE:
+                    if sum(int(x[0].sum()) for _, _, x in of + parts) <= most and sum(len(x) for x, _, _ in of + parts) <= _MOST:
+                        of += parts
+                    else:
+                        held[k] = (own, share, parts)
+                        yield shard(of)
+                    break
+            else:
+                held.append((own, share, parts))
+                if len(held) > KINDS:
+                    yield shard(held.pop(0)[2])
+        for _, _, of in held:
+            yield shard(of)
+
+    schema = ", ".join(["shard bigint", *(f"{n} binary" for n in ("doc", "key", *_COLUMNS))])
+    with _one_a_batch(pieces.sparkSession):
+        return shared_table(pieces.coalesce(groups).mapInArrow(run, schema), "packing-left", **_GROUPS)
+
+
+def _look_up(pieces: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
     """(query, piece, score) of the `near` best unused pieces that fit each query's room, in order of query and score."""
     vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
     every = np.concatenate(rarity)[first].astype(np.float64)
     term, first = inverse.astype(np.int32), np.cumsum([0] + [len(x) for x in word])[:-1]
     bits = np.packbits(used)
-    groups = max(1, index.sparkSession.sparkContext.defaultParallelism)
+    groups = max(1, pieces.sparkSession.sparkContext.defaultParallelism)
     names, forms = ["seed", "doc", "score", "key"], [np.int32, np.int64, np.float32, np.uint64]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,9 +470,7 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
         octave = np.frexp(room.astype(np.float64))[1]  # room < 2 ** octave
         for row in _rows(batches):
             count = np.frombuffer(row["count"], np.int64)
-            base = begin[row["shard"]]
-            low = base // 8
-            gone = np.unpackbits(bits[low : (base + len(count)) // 8 + 1])[base - low * 8 :][: len(count)].astype(bool)
+            number, gone = _gone(row, begin, bits)
             if gone.all():
                 continue
             shard = Shard(row, gone, count % window, int(room.max()), vocabulary, every, mean)
@@ -416,14 +485,13 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
                 if not shard.n:
                     break
                 score = shard.scores([asked[k] for k in q.tolist()])
-                score[shard.rest > room[q, None]] = 0
-                low = np.maximum(least[q], 0.5)
-                if shard.n > near:
-                    many = (score >= low[:, None]).sum(axis=1)
-                    for r in np.flatnonzero(many > 2 * near).tolist():
-                        low[r] = max(low[r], np.partition(score[r], shard.n - near)[shard.n - near])
-                r, j = np.nonzero(score >= low[:, None])
-                found.append([q[r].astype(np.int32), shard.piece[j] + base, score[r, j], own[shard.piece[j]]])
+                hit = score >= np.maximum(least[q], 0.5)[:, None]
+                hit &= shard.rest <= room[q, None]
+                for r in np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * near).tolist():
+                    own_hits = score[r, hit[r]]
+                    hit[r] &= score[r] >= np.partition(own_hits, len(own_hits) - near)[len(own_hits) - near]
+                r, j = np.divmod(np.flatnonzero(hit), shard.n)
+                found.append([q[r].astype(np.int32), number[shard.piece[j]], score[r, j], own[shard.piece[j]]])
             del shard
             got = [np.concatenate(x) for x in zip(*found)]
             best = _best(*got, near)
@@ -447,8 +515,8 @@ def _look_up(index: DataFrame, begin: dict[int, int], word: list[np.ndarray], ra
         return pa.Table.from_batches(blobs([x[best] for x in cols]))
 
     schema = ", ".join(["part int", *(f"{n} binary" for n in names)])
-    with _one_a_batch(index.sparkSession):
-        own = index.select("shard", "key", *_COLUMNS).coalesce(groups).mapInArrow(run, schema)
+    with _one_a_batch(pieces.sparkSession):
+        own = pieces.coalesce(groups).mapInArrow(run, schema)
         seed, doc, score, tie = read(own.groupBy("part").applyInArrow(merge, schema).toArrow())
     best = _best(seed, doc, score, tie, near)
     return seed[best], doc[best], score[best]
@@ -505,6 +573,7 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     collect_garbage(spark)
     starts = np.array(list(begin.values()), np.int64)
     shards = list(begin)
+    pieces, held = index.select("shard", F.lit(None).cast("binary").alias("doc"), "key", *_COLUMNS), n
     while not used.all():
         seed = choose_seeds(rest, key, used, window)
         used[seed] = True
@@ -536,7 +605,10 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not len(some):
                     continue
                 words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
-                query, doc, score = _look_up(index, begin, words, rarity, room[some], used, mean, window, near)
+                unused = n - int(used.sum())
+                if unused * 2 <= held > SMALL:  # so that a look-up doesn't read what is packed
+                    pieces, held = _left(pieces, begin, used, shard_bytes), unused
+                query, doc, score = _look_up(pieces, begin, words, rarity, room[some], used, mean, window, near)
                 del rows, at, words, rarity
                 # plans, broadcasts and checkpoints of a look-up stay on both sides of the driver until its garbage is collected
                 looked += 1

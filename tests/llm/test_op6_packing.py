@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from tessella.llm.packing import GRAIN, Shard, _counted, _index, _postings, choose_seeds, idf, pack_windows, weights
+from tessella.llm import packing
+from tessella.llm.packing import GRAIN, Shard, _best, _counted, _index, _left, _postings, choose_seeds, idf, pack_windows, weights
 from tessella.llm.text import slices, strings
 
 from .conftest import prose
@@ -150,6 +151,51 @@ def test_no_score_exceeds_its_bound():
     assert (shard.scores(asked) <= bound[:, None]).all() and bound[0] == shard.scores(asked)[0].max() and bound[-1] == 0
 
 
+def test_an_index_written_anew_holds_what_is_left(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(r.random() ** 2 * 90)}" for _ in range(60))) for i in range(400)]
+    slim = spark.createDataFrame(rows, "id bigint, text string").repartition(4).select("id", F.xxhash64("id").alias("key"), "text")
+    index = _index(slim, T.LongType(), 20_000)
+    before = index.orderBy("shard").collect()
+    begin = dict(zip((x.shard for x in before), np.cumsum([0] + [len(x.ids) for x in before]).tolist()))
+    used = np.arange(400) % 3 > 0
+    index = index.drop("ids").withColumn("doc", F.lit(None).cast("binary"))
+
+    def postings(found):
+        out = set()
+        for x in found:
+            doc = np.frombuffer(x.doc, np.int64) if x.doc else begin[x.shard] + np.arange(len(x["count"]) // 8)
+            word, text = np.repeat(np.frombuffer(x.words, np.uint64), np.frombuffer(x["size"], np.int32)), np.frombuffer(x.text, np.uint16)
+            key, count = np.frombuffer(x.key, np.uint64)[text], np.frombuffer(x["count"], np.int64)[text]
+            out |= set(zip(doc[text].tolist(), key.tolist(), count.tolist(), word.tolist(), np.frombuffer(x.tf, np.uint16).tolist()))
+        return out
+
+    before = index.collect()
+    left = _left(index.repartition(1), begin, used, 10**6).collect()
+    assert postings(left) == {x for x in postings(before) if not used[x[0]]}
+    assert len(left) == 2 < len(before)
+
+
+def test_windows_match_brute_force_when_the_index_is_written_anew(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "SMALL", 5)
+    monkeypatch.setattr(packing, "_left", lambda *x: made.append(1) or _left(*x))
+    r = random.Random(6)
+    rows = list(enumerate(" ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(r.choice([1, 3, 10, 25, 40, 90]))) for _ in range(100)))
+    got = pack_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), window=40, seeds=7, near=5, shard_bytes=2000)
+    assert windows(got) == brute(rows, keys(spark, rows), 40, 7, 5) and len(made) > 1
+
+
+def test_best_candidates_go_by_score_then_key():
+    r = np.random.default_rng(1)
+    seed, score, key = r.integers(0, 9, 3000).astype(np.int32), r.integers(1, 40, 3000).astype(np.float32), r.integers(0, 5, 3000).astype(np.uint64)
+    doc = np.arange(3000)
+    order = np.lexsort((doc, key, -score, seed))
+    want = [k for s in range(9) for k in [k for k in order.tolist() if seed[k] == s][:20]]
+    assert _best(seed, doc, score, key, 20).tolist() == want
+    assert not len(_best(seed[:0], doc[:0], score[:0], key[:0], 20))
+
+
 _GROWN = """
 import os, pathlib, sys, tempfile
 from pyspark.sql import SparkSession
