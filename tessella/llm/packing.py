@@ -454,11 +454,21 @@ def _left(pieces: DataFrame, begin: dict[int, int], used: np.ndarray, shard_byte
         return shared_table(pieces.coalesce(groups).mapInArrow(run, schema), "packing-left", **_GROUPS)
 
 
-def _look_up(pieces: DataFrame, begin: dict[int, int], word: list[np.ndarray], rarity: list[np.ndarray], room: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
+def _asked(rows: list[pa.Table], order: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The vocabulary of some queries and its idf; their words as places in it, and where each query's begin. Takes the table out of its list."""
+    table = rows.pop()
+    found = [[np.frombuffer(table.column(c)[int(i)].as_buffer(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32))]
+    begin = np.cumsum([0] + [len(x) for x in found[0]])[:-1]
+    word, rarity = map(np.concatenate, found)
+    del table, found
+    pa.default_memory_pool().release_unused()  # before words are sorted, which needs memory itself
+    vocabulary, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+    return vocabulary, rarity[first].astype(np.float64), inverse.astype(np.int32), begin
+
+
+def _look_up(pieces: DataFrame, begin: dict[int, int], queries: tuple[np.ndarray, ...], room: np.ndarray, used: np.ndarray, mean: float, window: int, near: int) -> tuple[np.ndarray, ...]:
     """(query, piece, score) of the `near` best unused pieces that fit each query's room, in order of query and score."""
-    vocabulary, first, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
-    every = np.concatenate(rarity)[first].astype(np.float64)
-    term, first = inverse.astype(np.int32), np.cumsum([0] + [len(x) for x in word])[:-1]
+    vocabulary, every, term, first = queries
     bits = np.packbits(used)
     groups = max(1, pieces.sparkSession.sparkContext.defaultParallelism)
     names, forms = ["seed", "doc", "score", "key"], [np.int32, np.int64, np.float32, np.uint64]
@@ -596,6 +606,9 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 some = some[room[some] >= rest[~used].min()] if not used.all() else some[:0]
                 if not len(some):
                     break
+                unused = n - int(used.sum())
+                if unused * 2 <= held > SMALL:  # so that a look-up doesn't read what is packed
+                    pieces, held = _left(pieces, begin, used, shard_bytes), unused
                 rows = asking.where(F.col("seed").between(int(some[0]), int(some[-1]))).toArrow()
                 at = rows.column("seed").to_numpy()
                 order = np.argsort(at)
@@ -604,12 +617,11 @@ def pack_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 some = at[order]
                 if not len(some):
                     continue
-                words, rarity = ([np.frombuffer(rows.column(c)[int(i)].as_py(), k) for i in order] for c, k in (("words", np.uint64), ("idf", np.float32)))
-                unused = n - int(used.sum())
-                if unused * 2 <= held > SMALL:  # so that a look-up doesn't read what is packed
-                    pieces, held = _left(pieces, begin, used, shard_bytes), unused
-                query, doc, score = _look_up(pieces, begin, words, rarity, room[some], used, mean, window, near)
-                del rows, at, words, rarity
+                rows = [rows]
+                del at  # a view of their memory
+                queries = _asked(rows, order)
+                query, doc, score = _look_up(pieces, begin, queries, room[some], used, mean, window, near)
+                del queries
                 # plans, broadcasts and checkpoints of a look-up stay on both sides of the driver until its garbage is collected
                 looked += 1
                 collect_garbage(spark, executors=looked % EVERY == 0)
