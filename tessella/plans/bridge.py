@@ -238,34 +238,63 @@ def stx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("unknown").alias("conv_id"), F.col("id").alias("turn"), "text")
 
 
-def _through(df: DataFrame, files: int, key: str, there_and_back: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Rows in so many files, each of which is written and parsed again by one task."""
-
-    def run(table):
-        return there_and_back(table.drop_columns(["__file"])).cast(table.drop_columns(["__file"]).schema)
-
-    return df.withColumn("__file", F.pmod(F.xxhash64(key), F.lit(files))).groupBy("__file").applyInArrow(run, df.schema)
-
-
-def _dat(df: DataFrame, key: str, files: int) -> DataFrame:
+#: Rows and about as many bytes that a file holds at most: of larger tables there are more files, not larger ones.
+FILE_ROWS, FILE_BYTES = 10_000, 4 << 20
+
+
+def _through(df: DataFrame, there_and_back: Callable[[pa.Table], pa.Table], key: str | None = None, most: int = FILE_ROWS) -> DataFrame:
+    """Rows in files, each of which is written and parsed again by one task; rows of one key are in one file, whatever it holds."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            step = max(1, min(most, len(batch) * FILE_BYTES // max(1, batch.nbytes)))
+            for at in range(0, len(batch), step):
+                yield pa.Table.from_batches([batch.slice(at, step)])
+
+    def whole(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        held: list[pa.Table] = []
+        for table in tables:
+            keys = table.column(key).to_pylist()
+            cut = next((i for i in range(len(keys) - 1, 0, -1) if keys[i] != keys[i - 1]), 0)  # where the last key begins
+            if held and (cut or held[-1].column(key)[-1].as_py() != keys[0]):
+                if cut:
+                    held.append(table.slice(0, cut))
+                yield pa.concat_tables(held)
+                held = []
+            elif cut:
+                yield table.slice(0, cut)
+            held.append(table.slice(cut))
+        if held:
+            yield pa.concat_tables(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(files(batches)) if key else files(batches):
+            yield from there_and_back(table).cast(table.schema).to_batches()
+
+    rows = df.repartition(key).sortWithinPartitions(key) if key else spread(df)
+    return rows.mapInArrow(run, df.schema)
+
+
+def _dat(df: DataFrame) -> DataFrame:
     columns = dat_columns(df.schema)
+    texts = sum(count for _, kind, count in columns if kind not in dat.NUMBERS)
 
     def both(table: pa.Table) -> pa.Table:
         raw = dat.write_columns(columns, [c.to_numpy() for c in table.columns])
         return pa.table({name: cells[:, 0] for (name, _, _), cells in zip(*dat.read_columns(raw))})
 
-    return _through(df, files, key, both)
+    return _through(df, both, most=min(FILE_ROWS, 0xFFFF // max(1, texts)))  # so that a pool holds all texts, if none is there twice
 
 
 @_query("select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part")
 def dat_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return _dat(_t(spark, d, "part"), "p_partkey", 8)
+    return _dat(_t(spark, d, "part"))
 
 
 @_query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, epoch_us(l_shipdate) ship_us from lineitem")
 def dat_roundtrip_lineitem(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").withColumn("ship_us", F.unix_micros(F.col("l_shipdate").cast("timestamp"))).drop("l_shipdate")
-    return _dat(rows, "l_orderkey", 16)
+    return _dat(rows)
 
 
 @_query("select doc_id, text from documents")
@@ -285,7 +314,7 @@ def cpk_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         back = utf.read_cpk(utf.write_cpk(new_archive(files))).files
         return pa.table({"page_id": [f.id for f in back], "url": [f.path for f in back], "html": [f.data.decode() for f in back]})
 
-    return _through(_t(spark, d, "pages").select("page_id", "url", "html"), 8, "page_id", both)
+    return _through(_t(spark, d, "pages").select("page_id", "url", "html"), both)
 
 
 @_query("select r_regionkey, r_name from region")
@@ -295,7 +324,7 @@ def utf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         back = utf.read_utf(utf.write_utf(t)).rows
         return pa.table({c: [r[c] for r in back] for c in ("r_regionkey", "r_name")})
 
-    return _through(_t(spark, d, "region").select("r_regionkey", "r_name"), 2, "r_regionkey", both)
+    return _through(_t(spark, d, "region").select("r_regionkey", "r_name"), both)
 
 
 @_query("select conv_id, turn, role, text from conversations")
@@ -341,4 +370,4 @@ def srd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         leaves = [r for r in rows if r["depth"] == 1]
         return pa.table({"vec_id": [int(r["data"]) for r in leaves], "depth_mark": [mark[r["parent_id"]] for r in leaves]})
 
-    return _through(_t(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("depth_mark")), 4, "vec_id", both)
+    return _through(_t(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("depth_mark")), both)

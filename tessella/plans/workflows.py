@@ -151,7 +151,7 @@ def exchange_stx(spark: SparkSession, d: str) -> DataFrame:
         rows = [(t.unknown, i, s) for t in exchange.stx_from_json(json.loads(doc)) for i, s in t.entries]
         return pa.table([pa.array(c) for c in zip(*rows)], names=["conv_id", "turn", "text"])
 
-    return _through(_t(spark, d, "conversations").select("conv_id", "turn", "text"), 16, "conv_id", both)
+    return _through(_t(spark, d, "conversations").select("conv_id", "turn", "text"), both, "conv_id")
 
 
 @_query("select p_partkey, p_name, p_size, p_retailprice from part")
@@ -164,7 +164,7 @@ def exchange_dat(spark: SparkSession, d: str) -> DataFrame:
         back = exchange.dat_from_json(json.loads(exchange.dumps(exchange.dat_to_json(dat.Dat(columns, cells)))))
         return pa.table([pa.array(c) for c in zip(*([x for (x,) in r] for r in back.rows))], names=[n for n, _, _ in back.schema])
 
-    return _through(rows, 8, "p_partkey", both)
+    return _through(rows, both)
 
 
 @_query("select user_id, event_id, event_id % 256 opcode, cast(floor(coalesce(value, 0)) as bigint) % 65536 arg from events")
@@ -178,7 +178,7 @@ def exchange_wrd(spark: SparkSession, d: str) -> DataFrame:
         cells = [(*map(int, p.split("/")), o, a[0]) for p, (o, a) in zip(back.params, back.commands)]
         return pa.table([pa.array(c) for c in zip(*cells)], names=["user_id", "event_id", "opcode", "arg"])
 
-    return _through(rows, 16, "user_id", both)
+    return _through(rows, both)
 
 
 @_query("select page_id, 'p/' || page_id || '.html' path, html from pages")
@@ -200,7 +200,7 @@ def exchange_manifests(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("the manifest lost a packet or a column")
         return pa.table({"page_id": [f.id for f in back.files], "path": [f.path for f in back.files], "html": [archive.read_spc(f.data).members[0].data.decode() for f in back.files]})
 
-    return _through(pages, 8, "page_id", both)
+    return _through(pages, both)
 
 
 @_query("select c_custkey, c_custkey % 4096 x, c_nationkey y, 'font-' || c_nationkey font from customer")
@@ -218,7 +218,7 @@ def exchange_spft(spark: SparkSession, d: str) -> DataFrame:
             out += [(g[0], g[1], g[2], back.name) for g in back.glyphs]
         return pa.table([pa.array(c) for c in zip(*out)], names=["c_custkey", "x", "y", "font"])
 
-    return _through(rows, 4, "c_custkey", both)
+    return _through(rows, both)
 
 
 # --- fonts and textures
