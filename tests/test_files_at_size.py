@@ -32,3 +32,30 @@ def test_rows_of_a_key_stay_in_one_file(spark):
     got = bridge._through(df, both, "k").groupBy("k").agg(F.count("*").alias("c"), F.count_distinct("n").alias("files"))
     assert got.where("files > 1").count() == 0 and got.agg(F.sum("c")).first()[0] == 60_000
     assert bridge._through(df.where("false"), both, "k").count() == 0
+
+
+def _seen(monkeypatch, module):
+    """Makes a task fail whose file holds more than files may."""
+    through, rows, size = module._through, 10_000, 8 << 20
+
+    def spy(*args, **more):
+        def checked(both):
+            def run(table):
+                body = table.drop_columns(["__file"]) if "__file" in table.column_names else table
+                if len(body) > rows or body.nbytes > size:
+                    raise ValueError(f"FILE_TOO_LARGE: {len(body)} rows, {body.nbytes} bytes")
+                return both(table)
+
+            return run
+
+        return through(*(checked(a) if callable(a) else a for a in args), **more)
+
+    monkeypatch.setattr(module, "_through", spy)
+
+
+def test_files_of_exchange_wrd_do_not_grow(spark, tmp_path, monkeypatch):
+    _seen(monkeypatch, workflows)
+    id = F.col("id")
+    rows = spark.range(240_000).select(id.alias("event_id"), F.pmod(id, F.lit(3)).alias("user_id"), (id % 100 + 0.5).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    _same(entry.queries()["exchange_wrd"](spark, str(tmp_path)), rows.select("user_id", "event_id", (F.col("event_id") % 256).alias("opcode"), F.floor("value").cast("bigint").alias("arg")))
