@@ -59,3 +59,15 @@ def test_files_of_exchange_wrd_do_not_grow(spark, tmp_path, monkeypatch):
     rows = spark.range(240_000).select(id.alias("event_id"), F.pmod(id, F.lit(3)).alias("user_id"), (id % 100 + 0.5).alias("value"))
     rows.write.parquet(f"{tmp_path}/events.parquet")
     _same(entry.queries()["exchange_wrd"](spark, str(tmp_path)), rows.select("user_id", "event_id", (F.col("event_id") % 256).alias("opcode"), F.floor("value").cast("bigint").alias("arg")))
+
+
+def _pages(spark, path, n):
+    rows = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.concat(F.lit("<p>"), "id"), 20_000).alias("html"))
+    rows.write.parquet(f"{path}/pages.parquet")
+    return rows
+
+
+def test_files_of_exchange_manifests_do_not_grow(spark, tmp_path, monkeypatch):
+    _seen(monkeypatch, workflows)
+    rows = _pages(spark, tmp_path, 1_000)
+    _same(entry.queries()["exchange_manifests"](spark, str(tmp_path)), rows.select("page_id", F.concat(F.lit("p/"), "page_id", F.lit(".html")).alias("path"), "html"))
