@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 FILE, MEMBER = ["cpk", "cpk_path"], ["cpk", "cpk_path", "spc_member"]
 SLOT = [*MEMBER, "table_idx", "id"]
+#: Parts in which the absent slots of a member are looked at.
+PARTS = 64
 POLICIES = ("warn", "skip", "error")
 
 
@@ -51,13 +53,16 @@ def resolve(entries: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]
     files, members = slots.select(*FILE).distinct(), slots.select(*MEMBER).distinct()
     no_file = groups.join(files, FILE, "left_anti")
     no_member = groups.join(files, FILE, "left_semi").join(members, MEMBER, "left_anti")
-    target = slots.groupBy(*SLOT).agg(F.max_by(F.struct("pos", "text"), "pos").alias("slot"))
-    hit = entries.join(members, MEMBER, "left_semi").join(target, SLOT, "left")
-    hit = hit.select(*entries.columns, F.col("slot.pos").alias("pos"), F.col("slot.text").alias("text"))
+    target = slots.groupBy(*SLOT).agg(F.max_by(F.struct("pos", "text"), "pos").alias("slot")).where("slot.pos is not null")
+    hit = entries.join(target, SLOT).select(*entries.columns, F.col("slot.pos").alias("pos"), F.col("slot.text").alias("text"))
+    # a member may have most entries: what tells its rows apart is joined with, too, and texts don't move
+    part = lambda id: F.pmod(F.xxhash64(id), F.lit(PARTS)).cast("int").alias("__part")
+    parts = members.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
+    absent = entries.select(*SLOT).join(slots.where("pos is not null").select(*SLOT).distinct(), SLOT, "left_anti")
+    absent = absent.select("*", part("id")).join(parts, [*MEMBER, "__part"], "left_semi")
     record = lambda df, member, table, id: df.select("cpk", "cpk_path", member.alias("spc_member"), table.cast("int").alias("table_idx"), id.cast("bigint").alias("id"))
     missing = record(no_file, F.lit(""), F.lit(None), F.lit(None)).unionByName(record(no_member, F.col("spc_member"), F.lit(None), F.lit(None)))
-    missing = missing.unionByName(record(hit.where("pos is null"), F.col("spc_member"), F.col("table_idx"), F.col("id")))
-    return hit.where("pos is not null"), missing
+    return hit, missing.unionByName(record(absent, F.col("spc_member"), F.col("table_idx"), F.col("id")))
 
 
 def decide(hit: DataFrame, policy: str = "warn") -> DataFrame:

@@ -306,3 +306,20 @@ def test_whole_file_formats_round_trip_through_spark(spark, tmp_path):
             files.inside("/tmp/x", bad)
     textures = spark.createDataFrame([(font.BC4, 4, 4, bytearray([5, 5, 0, 0, 0, 0, 0, 0]))], "format int, width int, height int, data binary")
     assert bytes(members.decode_textures(textures).first().alpha) == b"\5" * 16
+
+
+def test_no_task_gets_all_entries_of_a_member(spark):
+    import re
+
+    e = spark.createDataFrame([("a.cpk", "/f", "m", 0, k, k, f"s{k}", "t") for k in range(50)], "cpk string, cpk_path string, spc_member string, table_idx int, id bigint, ord bigint, source string, target string")
+    s = spark.createDataFrame([("a.cpk", "f", "m", 0, k, k, f"s{k}") for k in range(0, 50, 2)], "cpk string, cpk_path string, spc_member string, table_idx int, pos bigint, id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hit, missing = patching.resolve(e, s)
+        shuffled = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", hit._jdf.queryExecution().executedPlan().toString())
+        assert shuffled and all(re.search(r"\bid#", keys) for keys in shuffled)
+        assert sorted(r.id for r in hit.collect()) == list(range(0, 50, 2))
+        assert sorted(r.id for r in missing.collect()) == list(range(1, 50, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
