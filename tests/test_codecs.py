@@ -1,6 +1,7 @@
 """Byte-exact vectors, round trips and hostile input for every codec."""
 
 import random
+import time
 import re
 from pathlib import Path
 
@@ -240,3 +241,56 @@ def test_dat_by_columns_is_the_same_table():
     for bad in ([[256]], [[-1]], [[1, 2]], [[1.5]]):
         with pytest.raises(Malformed):
             dat.write_columns([("a", "u8", 1)], [np.array(bad)])
+
+
+def test_lzss_finds_the_same_matches_piece_by_piece(monkeypatch):
+    def chained(data):  # the nearest of the longest matches, by looking at every place of the window
+        at, out = 0, []
+        while at < len(data):
+            best, where = 0, -1
+            for place in range(at - 1, max(0, at - lzss.WINDOW) - 1, -1):
+                size = 0
+                while size < min(lzss.LONGEST, len(data) - at) and data[place + size] == data[at + size]:
+                    size += 1
+                if size > best:
+                    best, where = size, place
+            out.append((best, at - where) if best >= 2 else data[at])
+            at += best if best >= 2 else 1
+        return out
+
+    def parsed(packed):
+        at, out = 0, []
+        while at < len(packed):
+            flags, at = lzss.REVERSED[packed[at]], at + 1
+            for bit in range(8):
+                if at >= len(packed):
+                    break
+                if flags >> bit & 1:
+                    out.append(packed[at])
+                    at += 1
+                else:
+                    word = packed[at] | packed[at + 1] << 8
+                    out.append(((word >> 10) + 2, lzss.WINDOW - (word & 0x3FF)))
+                    at += 2
+        return out
+
+    r = random.Random(5)
+    for piece in (50, 1 << 18):
+        monkeypatch.setattr(lzss, "PIECE", piece)
+        for k, letters in ((2, b"ab"), (700, b"abc"), (3000, b"abcdefgh"), (1500, bytes(range(256))), (66, b"a")):
+            raw = bytes(r.choices(letters, k=k))
+            assert parsed(lzss.compress(raw)) == chained(raw)
+            assert lzss.decompress(lzss.compress(raw), len(raw)) == raw
+
+
+def test_lzss_takes_no_step_for_each_place_that_might_match(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [t.encode() for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    n = sum(map(len, texts))
+    began = time.process_time()
+    assert [lzss.decompress(lzss.compress(raw), len(raw)) for raw in texts] == texts
+    took, began = time.process_time() - began, time.process_time()
+    for _ in range(40 * n):  # a bound that goes with the machine
+        pass
+    assert took < time.process_time() - began
