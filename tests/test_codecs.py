@@ -294,3 +294,9 @@ def test_lzss_takes_no_step_for_each_place_that_might_match(sf_dir):
     for _ in range(40 * n):  # a bound that goes with the machine
         pass
     assert took < time.process_time() - began
+
+
+def test_bc4_blocks_are_decoded_together():
+    raw = np.random.default_rng(1).integers(0, 256, (500, 8), dtype=np.uint8)
+    assert [bytes(p) for p in font.decode_blocks(raw)] == [font.decode_bc4(bytes(b), 4, 4) for b in raw]
+    assert font.decode_blocks(raw[:0]).shape == (0, 16)
