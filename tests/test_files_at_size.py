@@ -78,3 +78,9 @@ def test_files_of_exchange_dat_do_not_grow(spark, tmp_path, monkeypatch):
     rows = spark.range(120_000).select(F.col("id").alias("p_partkey"), F.concat(F.lit("p"), "id").alias("p_name"), F.lit(3).cast("bigint").alias("p_size"), F.lit(0.5).alias("p_retailprice"))
     rows.write.parquet(f"{tmp_path}/part.parquet")
     _same(entry.queries()["exchange_dat"](spark, str(tmp_path)), rows)
+
+
+def test_files_of_cpk_roundtrip_do_not_grow(spark, tmp_path, monkeypatch):
+    _seen(monkeypatch, bridge)
+    rows = _pages(spark, tmp_path, 1_000)
+    _same(entry.queries()["cpk_roundtrip"](spark, str(tmp_path)), rows)
